@@ -1,0 +1 @@
+"""Empty on purpose: every load and view of the indicator set is a whole-file batch job."""
