@@ -1,10 +1,16 @@
 """Previous values and percent changes.
 
-``calendar`` looks the earlier date up with an equi-join on (keys, date): it is gap-safe, and its
-shuffle key is unique per row, so no series can overload a task. ``row`` takes the n-th row before
-in date order: a window hash-partitioned by the series keys. A series holds one row per period
-(``key_violations`` checks it), so a window partition is bounded by the calendar. Without keys the
-input is a single series, for the same reason never longer than the calendar.
+Three ways to find the earlier row of a series:
+
+* ``row``: the n-th row before in date order.
+* ``calendar``: the row dated exactly n months before, gap-safe, as a one-row RANGE frame. The
+  input is read once and, like ``row``, shuffled once by the series keys.
+* ``join``: the same row as ``calendar`` through an equi-join on (keys, date). It shuffles twice
+  but its key is unique per row, so the length of a series does not matter.
+
+A series holds one row per period (``key_violations`` checks it), so a window partition is bounded
+by the calendar. Without keys the input is a single series, for the same reason never longer than
+the calendar.
 """
 
 from __future__ import annotations
@@ -29,8 +35,15 @@ def previous_value(
     if mode == "row":
         series = Window.partitionBy(*keys).orderBy(date)
         return df.withColumns({new: F.lag(old, lag).over(series) for old, new in columns.items()})
-    if mode != "calendar":
-        raise ValueError(f"unknown mode {mode!r}: use 'row' or 'calendar'")
+    if mode == "calendar":
+        part = f"PARTITION BY {', '.join(f'`{key}`' for key in keys)} " if keys else ""
+        back = f"INTERVAL '{lag}' MONTH PRECEDING"
+        frame = f"{part}ORDER BY `{date}` RANGE BETWEEN {back} AND {back}"
+        return df.withColumns(
+            {new: F.expr(f"max(`{old}`) OVER ({frame})") for old, new in columns.items()}
+        )
+    if mode != "join":
+        raise ValueError(f"unknown mode {mode!r}: use 'row', 'calendar' or 'join'")
     earlier = df.select(
         *keys,
         F.col(date).alias("_reference"),

@@ -126,7 +126,10 @@ def _monthly(spark, sf_dir: str, source, keyed: bool, period) -> DataFrame:
         first, after = (F.lit(end).cast("timestamp_ntz") for end in period)
         fact = fact.filter((F.col(moment) >= first) & (F.col(moment) < after))
     dated = fact.withColumn("fecha", month_start(F.col(moment))).filter(F.col("fecha").isNotNull())
-    return dated.withColumnRenamed(entity, "entidad") if keyed else dated
+    if not keyed:
+        return dated
+    # Stated once here, the key's not-NULL filter is the same in every branch joined later.
+    return dated.filter(F.col(entity).isNotNull()).withColumnRenamed(entity, "entidad")
 
 
 def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[str, DataFrame]:

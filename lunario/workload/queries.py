@@ -84,12 +84,18 @@ def keyed(spark: SparkSession, sf_dir: str, *names: str, **options) -> dict[str,
     return base_tables(spark, sf_dir, *names, keyed=True, **options)
 
 
+def series(df: DataFrame, entity: str, moment: str) -> DataFrame:
+    """Rows with their series and month; rows without either belong to no series."""
+    dated = df.filter(F.col(entity).isNotNull() & F.col(moment).isNotNull()).select(
+        F.col(entity).alias("entidad"), month_start(F.col(moment)).alias("fecha"), *df.columns
+    )
+    return dated.filter(F.col("fecha").isNotNull())
+
+
 def customer_months(orders: DataFrame) -> DataFrame:
     """Order totals per customer and month; ``urgente`` is NULL without urgent orders."""
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    return orders.groupBy(
-        F.col("o_custkey").alias("entidad"), month_start(F.col("o_orderdate")).alias("fecha")
-    ).agg(
+    return series(orders, "o_custkey", "o_orderdate").groupBy(*KEY, "fecha").agg(
         exact_sum(F.col("o_totalprice")).alias("total"),
         exact_sum(F.when(urgent, F.col("o_totalprice"))).alias("urgente"),
     )
@@ -98,9 +104,7 @@ def customer_months(orders: DataFrame) -> DataFrame:
 def supplier_months(lineitem: DataFrame) -> DataFrame:
     """Shipped quantity per supplier and month; ``abierto`` is NULL without open lines."""
     is_open = F.col("l_linestatus") == "O"
-    return lineitem.groupBy(
-        F.col("l_suppkey").alias("entidad"), month_start(F.col("l_shipdate")).alias("fecha")
-    ).agg(
+    return series(lineitem, "l_suppkey", "l_shipdate").groupBy(*KEY, "fecha").agg(
         exact_sum(F.col("l_quantity")).alias("cantidad"),
         exact_sum(F.when(is_open, F.col("l_quantity"))).alias("abierto"),
     )
@@ -299,7 +303,7 @@ def _(spark, d):
 @query("d6_prior_year_join")
 def _(spark, d):
     imae = keyed(spark, d, "imae")["imae"]
-    return previous_value(imae, {"imae": "imae_anio_anterior"}, mode="calendar", keys=KEY)
+    return previous_value(imae, {"imae": "imae_anio_anterior"}, mode="join", keys=KEY)
 
 
 @query("d7_rebase_cross")
@@ -648,7 +652,7 @@ def _(t):
 
 view("k19_relative_inflation_gap", "ipc", "tc", "cpi_usa")(views.relative_inflation_gap)
 view("k20_reserves_local", "rin", "tc")(
-    lambda t: views.reserves_local_currency(t, "decimal(28,6)")
+    lambda t: views.reserves_local_currency(t, "decimal(38,10)")
 )
 
 
