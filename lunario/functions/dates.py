@@ -21,4 +21,4 @@ def shift_months(date: Column, months: int) -> Column:
 def month_name(date: Column) -> Column:
     """Spanish month name of a date, in lower case as the Spanish locale prints it."""
     names = F.array(*[F.lit(name) for name in MONTHS])
-    return F.element_at(names, F.month(date))
+    return F.get(names, F.month(date) - 1)

@@ -24,8 +24,6 @@ MONTHS = (
 # Fixed value: word that marks a yearly summary row.
 SUMMARY_WORD = "promedio"
 
-_PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*$"
-
 
 def year_label(label: Column) -> Column:
     """The four digits that open a year header (``2025 p/`` gives ``2025``), else NULL."""
@@ -59,10 +57,11 @@ def amount(cell: Column, kind: str = "decimal(18,4)") -> Column:
     """
     trimmed = F.trim(cell)
     bracketed = trimmed.like("(%)")
-    digits = F.when(bracketed, F.translate(trimmed, ",()", "")).otherwise(
-        F.translate(trimmed, ", ", "")
+    # The exponent letter becomes one no number has; the characters after it are deleted.
+    digits = F.when(bracketed, F.translate(trimmed, "eE,()", "xx")).otherwise(
+        F.translate(trimmed, "eE, ", "xx")
     )
-    value = F.when(digits.rlike(_PLAIN_NUMBER), digits).try_cast(kind)
+    value = digits.try_cast(kind)
     return F.when(bracketed, F.negate(value)).otherwise(value)
 
 

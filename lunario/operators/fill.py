@@ -17,8 +17,12 @@ BLOCK_LINES = 100_000
 
 
 def line_block(line: str, lines: int = BLOCK_LINES) -> Column:
-    """Block number of a line id."""
-    return F.floor(F.col(line) / lines)
+    """Block number of a line id; lines without an id share the first block.
+
+    Being never NULL, it adds no filter to one side of the join on it, so both passes can read the
+    same exchange.
+    """
+    return F.coalesce(F.floor(F.col(line) / lines), F.lit(0))
 
 
 def fill_down(
@@ -32,18 +36,19 @@ def fill_down(
     """Add ``into``: the last non-NULL ``column`` at or above each line of its file.
 
     ``within`` names the file, ``line`` orders its lines; ``block`` is the column naming the
-    input split, or None to cut by line number.
+    input split, or None to cut by line number. A numeric ``column`` keeps the first pass a hash
+    aggregate; text would make it sort every line.
     """
     lines = df if block else df.withColumn("_block", line_block(line))
     part = [*within, block or "_block"]
-    seen = F.when(F.col(column).isNotNull(), F.struct(line, column))
+    seen = F.when(F.col(column).isNotNull(), F.col(line))
     earlier = Window.partitionBy(*within).orderBy(part[-1]).rowsBetween(
         Window.unboundedPreceding, -1
     )
     carried = (
         lines.groupBy(*part)
-        .agg(F.max(seen).alias("_tail"))
-        .select(*part, F.last(f"_tail.{column}", ignorenulls=True).over(earlier).alias("_carry"))
+        .agg(F.max_by(column, seen).alias("_tail"))
+        .select(*part, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
     )
     above = Window.partitionBy(*part).orderBy(line)
     return (

@@ -36,17 +36,16 @@ def last_non_blank(
     """Newest date that has a value, and the greatest value on that date, for each key.
 
     With the date among the keys the same measure is a time series instead of a single figure.
-    Ordering (date, value) pairs does both steps in one map-side aggregate.
+    Rows of one date are combined first; both steps are hash aggregates that combine map side, so
+    a key with most of the rows is spread over its dates.
     """
-    newest = F.max(F.struct(F.col(date).alias("fecha"), F.col(value).alias("valor")))
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(newest.alias("_newest"))
-        .filter(F.col("_newest").isNotNull())
-        .select(
-            *[key for key in keys if key != date],
-            F.col("_newest.fecha").alias("fecha"),
-            F.col("_newest.valor").alias("valor"),
-        )
+    series = [key for key in keys if key != date]
+    daily = df.filter(F.col(value).isNotNull()).groupBy(*series, date).agg(
+        F.max(value).alias("valor")
     )
+    if date in keys:
+        return daily.withColumnRenamed(date, "fecha")
+    newest = daily.groupBy(*series).agg(
+        F.max(date).alias("fecha"), F.max_by("valor", date).alias("valor")
+    )
+    return newest.filter(F.col("fecha").isNotNull())

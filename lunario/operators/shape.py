@@ -37,13 +37,11 @@ def unpivot_cells(
     """One row per id and cell; the cell's column name becomes its attribute values."""
     long = df.unpivot(list(ids), list(attributes), "_cell", value)
 
-    def attribute(position: int) -> Column:
-        pairs = [F.lit(x) for cell, labels in attributes.items() for x in (cell, labels[position])]
-        return F.element_at(F.create_map(*pairs), F.col("_cell"))
+    def attribute(position: int, name: str) -> str:
+        cases = " ".join(f"WHEN '{cell}' THEN '{a[position]}'" for cell, a in attributes.items())
+        return f"CASE _cell {cases} END AS `{name}`"
 
-    return long.select(
-        *ids, *[attribute(i).alias(name) for i, name in enumerate(names)], value
-    )
+    return long.selectExpr(*ids, *[attribute(i, name) for i, name in enumerate(names)], value)
 
 
 def spine_join(

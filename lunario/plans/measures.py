@@ -203,22 +203,16 @@ def growth_credit_correlation(t: Tables, keys: Keys = ()) -> DataFrame:
 def weight_summary(t: Tables, ceiling: float = WEIGHT_ALERT, keys: Keys = ()) -> DataFrame:
     """Highest and latest public-sector weight, and the number of months above the alert level."""
     weight = F.col("peso_estado")
-    newest = F.max(F.when(weight.isNotNull(), F.struct("fecha", "peso_estado")))
+    known = F.when(weight.isNotNull(), F.col("fecha"))
     return (
         views.public_sector_weight(t, keys)
         .groupBy(*keys)
         .agg(
             F.max(weight).alias("peso_maximo"),
-            newest.alias("_newest"),
+            F.max(known).alias("fecha_actual"),
+            F.max_by(weight, known).alias("peso_actual"),
             F.count_if(weight > ceiling).alias("meses_en_alerta"),
         )
-        .select(
-            *keys,
-            "peso_maximo",
-            F.col("_newest.fecha").alias("fecha_actual"),
-            F.col("_newest.peso_estado").alias("peso_actual"),
-            "meses_en_alerta",
-        )
     )
 
 

@@ -39,18 +39,23 @@ def dated_lines(
     block: str | None = "bloque",
 ) -> DataFrame:
     """Month rows of a report with ``anio_real``, ``numero_mes`` and their date."""
-    labelled = report.filter(F.col(label).isNotNull()).withColumns(
-        {"_year": year_label(F.col(label)), "_text": text_label(F.col(label))}
+    text = text_label(F.col(label))
+    labelled = (
+        report.filter(F.col(label).isNotNull())
+        .withColumns(
+            {
+                "_year": year_label(F.col(label)).cast("int"),
+                "numero_mes": F.when(~is_summary(text), month_number(text)),
+            }
+        )
+        # Means and notes neither carry a year nor hold a month, so they need not be shuffled.
+        .filter(F.col("_year").isNotNull() | F.col("numero_mes").isNotNull())
     )
-    filled = fill_down(labelled, "_year", "anio_real", line, within, block)
     return (
-        filled.filter(F.col("_text").isNotNull() & ~is_summary(F.col("_text")))
-        .withColumn("numero_mes", month_number(F.col("_text")))
+        fill_down(labelled, "_year", "anio_real", line, within, block)
         .filter(F.col("numero_mes").isNotNull())
-        .withColumn(
-            "_date", F.make_date(F.col("anio_real").cast("int"), F.col("numero_mes"), F.lit(1))
-        )
-        .drop("_year", "_text")
+        .withColumn("_date", F.make_date("anio_real", "numero_mes", F.lit(1)))
+        .drop("_year")
     )
 
 

@@ -25,6 +25,7 @@ def build_session(app: str = "lunario", cpus: int | None = None, **conf: str) ->
             .config("spark.driver.memory", "8g")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -9,7 +9,7 @@ them. Only the measures asked for are summed, and only their columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,58 +44,48 @@ def exact_sum(value: Column) -> Column:
     return F.sum(F.rint(value * CENTS).cast("long")) / CENTS
 
 
-def _where(value: Column, condition: Column | None) -> Column:
-    return value if condition is None else F.when(condition, value)
-
-
-def _mean(column: str, condition: Column | None = None, factor: float | None = None) -> Column:
-    total = exact_sum(_where(F.col(column), condition))
-    if factor is not None:
-        total = F.lit(factor) * total
-    rows = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    return total / F.nullif(rows, F.lit(0))
-
-
-def _shipment_measures() -> dict[str, list[Column]]:
-    """Value of every row each shipment-based table has per period."""
-    status, flag = F.col("l_linestatus"), F.col("l_returnflag")
-    return {
-        "ipc": [_mean("l_extendedprice")],
-        "cpi_usa": [_mean("l_extendedprice", status == "F")],
-        "imae": [exact_sum(F.col("l_quantity"))],
-        "tc": [_mean("l_quantity", status == "O")],
-        "trm": [_mean("l_tax", flag == "A", 100.0)],
-        "tasa_interbancaria": [_mean("l_tax", status == s, 100.0) for s in STATUS_CURRENCY],
-        "tasas_interes": [
-            _mean("l_discount", (status == s) & (flag == f), 100.0) for s, f, _ in _RATE_ROWS
-        ],
-    }
-
-
-def _order_measures() -> dict[str, list[Column]]:
-    """Value of every row each order-based table has per period; ``bm`` is one wide row."""
-    price = F.col("o_totalprice")
-    # Cell 0-14 of an order: priority digit (0-4) in steps of three, status within the step.
-    status = F.col("o_orderstatus")
-    step = F.when(status == "F", 0).when(status == "O", 1).otherwise(2)
-    cell = (F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 3 + step
-    nested = [exact_sum(F.when(cell < limit, price)) for limit in (3, 5, 7, 9, 11, 13, 15)]
-    return {
-        "credito": [exact_sum(F.when(status != "P", price))],
-        "rin": [exact_sum(F.when(F.col("o_orderpriority") == "1-URGENT", price)) / 20],
-        "bm": nested,
-    }
-
-
-_SHIPMENTS = ("lineitem", "l_shipdate", "l_suppkey", _shipment_measures)
-_ORDERS = ("orders", "o_orderdate", "o_custkey", _order_measures)
-_SOURCES = {
-    **{name: _SHIPMENTS for name in (
-        "ipc", "cpi_usa", "imae", "tc", "trm", "tasa_interbancaria", "tasas_interes"
-    )},
-    **{name: _ORDERS for name in ("credito", "rin", "bm")},
+def _total(column: str, condition: str | None = None) -> str:
+    """``exact_sum`` of a column as SQL text, over the rows where the condition holds."""
+    value = column if condition is None else f"CASE WHEN {condition} THEN {column} END"
+    return f"sum(cast(rint({value} * {CENTS}) AS bigint)) / {CENTS}"
+
+
+def _mean(column: str, condition: str | None = None, factor: int = 1) -> str:
+    rows = "count(*)" if condition is None else f"count_if({condition})"
+    scaled = f"{factor} * ({_total(column, condition)})" if factor != 1 else _total(column, condition)
+    return f"{scaled} / nullif({rows}, 0)"
+
+
+# Cell 0-14 of an order: priority digit (0-4) in steps of three, status within the step.
+_CELL = (
+    "(cast(substring(o_orderpriority, 1, 1) AS int) - 1) * 3"
+    " + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+)
+
+#: Value of every row each shipment-based table has per period.
+_SHIPMENT_MEASURES = {
+    "ipc": [_mean("l_extendedprice")],
+    "cpi_usa": [_mean("l_extendedprice", "l_linestatus = 'F'")],
+    "imae": [_total("l_quantity")],
+    "tc": [_mean("l_quantity", "l_linestatus = 'O'")],
+    "trm": [_mean("l_tax", "l_returnflag = 'A'", 100)],
+    "tasa_interbancaria": [_mean("l_tax", f"l_linestatus = '{s}'", 100) for s in STATUS_CURRENCY],
+    "tasas_interes": [
+        _mean("l_discount", f"l_linestatus = '{s}' AND l_returnflag = '{f}'", 100)
+        for s, f, _ in _RATE_ROWS
+    ],
 }
 
+#: Value of every row each order-based table has per period; ``bm`` is one wide row.
+_ORDER_MEASURES = {
+    "credito": [_total("o_totalprice", "o_orderstatus <> 'P'")],
+    "rin": [_total("o_totalprice", "o_orderpriority = '1-URGENT'") + " / 20"],
+    "bm": [_total("o_totalprice", f"{_CELL} < {limit}") for limit in (3, 5, 7, 9, 11, 13, 15)],
+}
+
+_SHIPMENTS = ("lineitem", "l_shipdate", "l_suppkey", _SHIPMENT_MEASURES)
+_ORDERS = ("orders", "o_orderdate", "o_custkey", _ORDER_MEASURES)
+
 
 def base_tables(
     spark: SparkSession,
@@ -111,7 +101,7 @@ def base_tables(
     """
     tables: dict[str, DataFrame] = {}
     for source in (_SHIPMENTS, _ORDERS):
-        wanted = [name for name in names if _SOURCES[name] is source]
+        wanted = [name for name in names if name in source[3]]
         if wanted:
             tables |= _split(_monthly(spark, sf_dir, source, keyed, period), source, wanted, keyed)
     if "ipc" in tables:
@@ -134,66 +124,51 @@ def _monthly(spark, sf_dir: str, source, keyed: bool, period) -> DataFrame:
 
 def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[str, DataFrame]:
     ids = ["entidad", "fecha"] if keyed else ["fecha"]
-    measures = {name: source[3]()[name] for name in wanted}
-    held = {name: [f"_{name}_{i}" for i in range(len(columns))] for name, columns in measures.items()}
+    held = {name: [f"_{name}_{i}" for i in range(len(source[3][name]))] for name in wanted}
     monthly = fact.groupBy(*ids).agg(
         *[
-            column.alias(alias)
-            for name, columns in measures.items()
-            for column, alias in zip(columns, held[name], strict=True)
+            F.expr(measure).alias(alias)
+            for name, aliases in held.items()
+            for measure, alias in zip(source[3][name], aliases, strict=True)
         ]
     )
-    if "cpi_usa" in wanted:
-        gap = F.col("fecha").isin(*[F.lit(month).cast("date") for month in GAP_MONTHS])
-        monthly = monthly.withColumn("_cpi_usa_0", F.when(~gap, F.col("_cpi_usa_0")))
+    if "cpi_usa" in held:
+        gap = ", ".join(f"DATE '{month}'" for month in GAP_MONTHS)
+        held["cpi_usa"] = [f"CASE WHEN fecha NOT IN ({gap}) THEN _cpi_usa_0 END"]
     rows = [
         (name, position, values)
         for name, columns in held.items()
         for position, values in enumerate([columns] if name == "bm" else [[c] for c in columns])
     ]
     width = max(len(values) for _, _, values in rows)
-    outputs = [f"_v{i}" for i in range(width)]
-    cells = [
-        piece
+    outputs = ", ".join(f"_v{i}" for i in range(width))
+    cells = ", ".join(
+        ", ".join([f"'{name}'", str(position), *values, *["NULL"] * (width - len(values))])
         for name, position, values in rows
-        for piece in (
-            F.lit(name),
-            F.lit(position),
-            *[F.col(value) for value in values],
-            *[F.lit(None).cast("double")] * (width - len(values)),
-        )
-    ]
-    stacked = monthly.select(
-        *ids, F.stack(F.lit(len(rows)), *cells).alias("_table", "_row", *outputs)
+    )
+    stacked = monthly.selectExpr(
+        *ids, f"stack({len(rows)}, {cells}) AS (_table, _row, {outputs})"
     )
     return {name: _table(stacked, ids, name) for name in wanted}
 
 
 def _table(stacked: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
-    value = F.col("_v0")
+    present, columns = "_v0", [f"_v0 AS {name}"]
     if name == "bm":
-        present, columns = F.col("_v6"), [
-            F.col(f"_v{i}").alias(aggregate) for i, aggregate in enumerate(AGGREGATES)
-        ]
+        present, columns = "_v6", [f"_v{i} AS {a}" for i, a in enumerate(AGGREGATES)]
     elif name == "tasa_interbancaria":
-        present, columns = value, [
-            _label(list(STATUS_CURRENCY.values())).alias("moneda"),
-            value.alias("tasa"),
-        ]
+        columns = [f"{_label(STATUS_CURRENCY.values())} AS moneda", "_v0 AS tasa"]
     elif name == "tasas_interes":
         names = ("moneda", "tipo_tasa", "instrumento", "plazo")
-        present, columns = value, [
-            *[_label([row[2][i] for row in _RATE_ROWS]).alias(n) for i, n in enumerate(names)],
-            value.alias("tasa_porcentaje"),
-        ]
-    else:
-        present, columns = value, [value.alias(name)]
-    own = stacked.filter((F.col("_table") == name) & present.isNotNull())
-    return own.select(*ids, *columns)
+        columns = [f"{_label(row[2][i] for row in _RATE_ROWS)} AS {n}" for i, n in enumerate(names)]
+        columns.append("_v0 AS tasa_porcentaje")
+    own = stacked.filter(f"_table = '{name}' AND {present} IS NOT NULL")
+    return own.selectExpr(*ids, *columns)
 
 
-def _label(labels: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(label) for label in labels]), F.col("_row"))
+def _label(labels: Iterable[str]) -> str:
+    """The label at a row's position, as SQL text."""
+    return f"array({', '.join(repr(label) for label in labels)})[_row]"
 
 
 def _with_inflation(ipc: DataFrame, keys: Sequence[str]) -> DataFrame:

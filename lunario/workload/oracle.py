@@ -467,7 +467,7 @@ LINES = (
 oracle("f5_running_count", f"SELECT entidad, source_row_id, grupo_anio FROM ({LINES})")
 oracle(
     "f6_group_fill",
-    f"SELECT entidad, source_row_id, CAST(anio AS VARCHAR) AS anio_real FROM ({LINES})",
+    f"SELECT entidad, source_row_id, anio AS anio_real FROM ({LINES})",
 )
 
 # --- sorts and sets ---------------------------------------------------------------------------
@@ -538,7 +538,7 @@ oracle(
 
 oracle(
     "j3_fill_year",
-    "SELECT entidad, source_row_id, CAST(anio AS VARCHAR) AS anio_real, linea AS numero_mes "
+    "SELECT entidad, source_row_id, anio AS anio_real, linea AS numero_mes "
     f"FROM ({LINES}) WHERE linea BETWEEN 1 AND 12",
 )
 MONEY = " ".join(AGGREGATES)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lunario.functions.dates import month_name, month_start, shift_months
@@ -66,14 +66,14 @@ def query(name: str) -> Callable[[Query], Query]:
 def comparable(df: DataFrame) -> DataFrame:
     """Result with DOUBLE fractions of six decimals and BIGINT whole numbers."""
 
-    def plain(name: str, kind: str) -> Column:
+    def plain(name: str, kind: str) -> str:
         if kind == "double" or kind.startswith("decimal"):
-            return F.round(F.col(name).cast("double"), 6).alias(name)
+            return f"round(cast(`{name}` AS double), 6) AS `{name}`"
         if kind in ("int", "smallint", "tinyint"):
-            return F.col(name).cast("bigint").alias(name)
-        return F.col(name)
+            return f"cast(`{name}` AS bigint) AS `{name}`"
+        return f"`{name}`"
 
-    return df.select(*[plain(name, kind) for name, kind in df.dtypes])
+    return df.selectExpr(*[plain(name, kind) for name, kind in df.dtypes])
 
 
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -424,7 +424,7 @@ def _staging(spark: SparkSession, d: str) -> DataFrame:
 
 def _with_years(lines: DataFrame) -> DataFrame:
     return lines.select(
-        *KEY, "source_row_id", year_label(F.col("anio_mes")).alias("anio_detectado")
+        *KEY, "source_row_id", year_label(F.col("anio_mes")).cast("int").alias("anio_detectado")
     )
 
 
@@ -652,7 +652,7 @@ def _(t):
 
 view("k19_relative_inflation_gap", "ipc", "tc", "cpi_usa")(views.relative_inflation_gap)
 view("k20_reserves_local", "rin", "tc")(
-    lambda t: views.reserves_local_currency(t, "decimal(38,10)")
+    lambda t: views.reserves_local_currency(t, "double")
 )
 
 

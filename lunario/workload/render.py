@@ -32,25 +32,18 @@ def aggregate_report(bm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def rate_report(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Interest-rate report of every series; cells without a rate are a dash, blank or NULL."""
-    value = F.round("tasa_porcentaje", 6)
     wide = rates.groupBy(*keys, "fecha").agg(
         *[
-            F.max(
-                F.when(
-                    (F.col("moneda") == code)
-                    & (F.col("tipo_tasa") == kind)
-                    & (F.col("plazo") == term),
-                    value,
-                )
+            F.expr(
+                f"max(CASE WHEN moneda = '{code}' AND tipo_tasa = '{kind}' AND plazo = '{term}' "
+                "THEN round(tasa_porcentaje, 6) END)"
             ).alias(name)
             for name, (code, kind, _, term) in RATE_COLUMNS.items()
         ]
     )
-    empty = {"3m": F.lit(" - "), "6m": F.lit("  "), "9m": F.lit("-")}
+    empty = {"3m": "' - '", "6m": "'  '", "9m": "'-'"}
     cells = {
-        name: F.coalesce(
-            F.col(name).cast("string"), empty.get(name.split("_")[-1], F.lit(None).cast("string"))
-        )
+        name: F.expr(f"coalesce(cast({name} AS string), {empty.get(name.split('_')[-1], 'NULL')})")
         for name in RATE_COLUMNS
     }
     means = {name: F.avg(name).alias(name) for name in RATE_COLUMNS}
