@@ -17,8 +17,9 @@ def upsert(
     A NULL in a matched source row overwrites the target; rows only in the target stay.
     Keys are unique on both sides, so the full outer join has no hot key. With ``period`` (a DATE
     among the keys) only target rows of periods present in the source are shuffled; the rest pass
-    straight through. The list of periods is broadcast: a DATE column has at most 3.7 million
-    distinct values, whatever the table size.
+    straight through; on a stored target partitioned by period that prunes the shuffle to the files
+    a load changes. The list of periods is broadcast: a DATE column has at most 3.7 million distinct
+    values, whatever the table size.
     """
     measures = [name for name in target.columns if name not in keys]
     if period is None:

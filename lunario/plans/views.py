@@ -465,8 +465,12 @@ def money_differences(t: Tables, since: str, keys: Keys = ()) -> DataFrame:
 
 
 def zero_values(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose value is exactly zero, newest first."""
-    return df.filter(F.col(column) == 0).orderBy(F.col("fecha").desc())
+    """Rows whose value is exactly zero, newest first.
+
+    The other columns break ties, so the sort can cut a date that holds most of the rows.
+    """
+    others = [name for name in df.columns if name != "fecha"]
+    return df.filter(F.col(column) == 0).orderBy(F.col("fecha").desc(), *others)
 
 
 def real_lending_rate_of_year(t: Tables, year: int, keys: Keys = ()) -> DataFrame:

@@ -183,7 +183,7 @@ def _(spark, d):
             (day >= F.lit("1999-07-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "O")
         )
     )
-    return upsert(target, source, [*KEY, "fecha"], period="fecha")
+    return upsert(target, source, [*KEY, "fecha"])
 
 
 @query("b4_update_from")
