@@ -3,7 +3,8 @@
 A running count or a fill-down needs every earlier line. Both are done in two passes over *blocks*
 (an input split, or a fixed range of line numbers): the first reduces each block to one row, map
 side; a window over those rows gives what each block inherits; the second works inside blocks only.
-No task ever holds more than one block of lines, however long the file is.
+No task ever holds more than one block of lines, however long the file is. The join is a left one
+although every line has its block: only the one-row-per-block side can then be broadcast.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def fill_down(
     )
     above = Window.partitionBy(*part).orderBy(line)
     return (
-        lines.join(carried, part)
+        lines.join(carried, part, "left")
         .withColumn(
             into, F.coalesce(F.last(column, ignorenulls=True).over(above), F.col("_carry"))
         )
@@ -81,7 +82,7 @@ def running_count(
     )
     above = Window.partitionBy(*part).orderBy(line)
     return (
-        lines.join(carried, part)
+        lines.join(carried, part, "left")
         .withColumn(into, F.col("_carry") + F.count(column).over(above))
         .drop("_block", "_carry")
     )
