@@ -6,10 +6,10 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from lunario.workload.oracle import ORACLES
+from lunario.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,8 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
