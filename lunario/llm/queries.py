@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from lunario.llm import exact_dedup, mixing, sharding
+from lunario.llm import exact_dedup, langid, mixing, packing, sharding, simhash, token_files, warc
 
 QUERIES = {
+    "op2_token_files": token_files.query,
     "op3_sharding": sharding.query,
+    "op4_warc": warc.query,
+    "op5_language_id": langid.query,
+    "op6_simhash": simhash.query,
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_packing": packing.query,
 }
 ORACLES = {
+    "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
