@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
-DIMENSIONS, EPOCHS, RATE, SEED = 16, 12, 2.0, 5
+DIMENSIONS, EPOCHS, RATE, SEED = 16, 8, 0.2, 5
 #: Labelled texts for each language (expected number), and languages, most frequent first.
 SAMPLE, LANGUAGES = 400, 256
 #: Every nth text of the sample calibrates.

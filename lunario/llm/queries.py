@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from lunario.llm import exact_dedup, langid, mixing, packing, sharding, simhash, token_files, warc
+from lunario.llm import (
+    exact_dedup,
+    langid,
+    licences,
+    mixing,
+    neighbours,
+    packing,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+)
 
 QUERIES = {
+    "op1_licence_scan": licences.query,
     "op2_token_files": token_files.query,
     "op3_sharding": sharding.query,
     "op4_warc": warc.query,
     "op5_language_id": langid.query,
     "op6_simhash": simhash.query,
+    "op7_neighbours": neighbours.query,
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_packing": packing.query,
