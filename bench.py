@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR is the table directory, BENCH_CPUS the number of local threads. Each query runs once
 to warm up and then three times into the no-op sink; the median is reported. The ``load_`` entries
-time report loads alone: the report text is rendered to a scratch folder beforehand.
+time report loads alone: the report text is rendered beforehand to a new folder under BENCH_SCRATCH,
+or under the session's warehouse where that is unset.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
+import uuid
 
 from lunario.plans.reports import tidy_aggregates, tidy_rates
 from lunario.session import build_session
@@ -68,12 +69,12 @@ def main() -> None:
     chosen = os.environ.get("BENCH_QUERIES", "").split()
     runs = {name: (lambda n=name: QUERIES[n](spark, SF_DIR)) for name in chosen or HEADLINE}
     seconds = {}
-    with tempfile.TemporaryDirectory(prefix="bench-") as folder:
-        if not chosen:
-            runs |= report_loads(spark, folder)
-        for name, df in runs.items():
-            timed(df)
-            seconds[name] = round(statistics.median(timed(df) for _ in range(REPEATS)), 3)
+    if not chosen:
+        scratch = os.environ.get("BENCH_SCRATCH") or spark.conf.get("spark.sql.warehouse.dir")
+        runs |= report_loads(spark, f"{scratch.rstrip('/')}/bench-{uuid.uuid4().hex}")
+    for name, df in runs.items():
+        timed(df)
+        seconds[name] = round(statistics.median(timed(df) for _ in range(REPEATS)), 3)
     spark.stop()
     print(
         json.dumps(

@@ -21,6 +21,9 @@ MONTHS = (
     "diciembre",
 )
 
+#: A number as text: digits with an optional sign, decimal point and exponent.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 # Fixed value: word that marks a yearly summary row.
 SUMMARY_WORD = "promedio"
 

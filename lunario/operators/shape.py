@@ -65,11 +65,17 @@ def attach_constant(
     """Add aggregates of ``source`` (one row for each key) to every row of ``df``.
 
     Without keys they are one scalar subquery, evaluated once; with keys a join on them, so
-    nothing is multiplied. ``required`` drops rows whose constants do not exist.
+    nothing is multiplied (NULL is a key of its own). ``required`` drops rows whose constants do not exist.
     """
     single = source.groupBy(*keys).agg(*[c.alias(name) for name, c in constants.items()])
     if keys:
-        attached = df.join(single, list(keys), "left")
+        held = single.select(
+            *[F.col(key).alias(f"_key_{key}") for key in keys], *constants
+        )
+        same = reduce(
+            lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys]
+        )
+        attached = df.join(held, same, "left").select(*df.columns, *constants)
     else:
         packed = single.select(F.struct(*constants).alias("_constants"))
         attached = (

@@ -5,33 +5,38 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lunario.functions.text import NUMBER
 
-def upsert(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], period: str | None = None
-) -> DataFrame:
+
+def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``source`` unchanged; the query fails when a key occurs twice.
+
+    A key holding NULL is a key like any other. The count runs in the partitioning and order that
+    the join on the same keys needs, so it costs no shuffle of its own.
+    """
+    return (
+        source.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .filter(F.assert_true(F.col("_rows") == 1, F.lit("a key occurs twice in the source")).isNull())
+        .drop("_rows")
+    )
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target with the source merged in by key: matched rows take every source value.
 
-    A NULL in a matched source row overwrites the target; rows only in the target stay.
-    Keys are unique on both sides, so the full outer join has no hot key. With ``period`` (a DATE
-    among the keys) only target rows of periods present in the source are shuffled; the rest pass
-    straight through; on a stored target partitioned by period that prunes the shuffle to the files
-    a load changes. The list of periods is broadcast: a DATE column has at most 3.7 million distinct
-    values, whatever the table size.
+    A NULL in a matched source row overwrites the target; rows only in the target stay. A key that
+    the source holds twice is an error, so the target never grows by it. One full outer join reads
+    each side once; to leave most of a large table alone, give it only the rows of the periods that
+    change (``plans.reports.merge_periods``).
     """
     measures = [name for name in target.columns if name not in keys]
-    if period is None:
-        touched, untouched = target, None
-    else:
-        periods = F.broadcast(source.select(period).distinct())
-        touched = target.join(periods, period, "left_semi")
-        untouched = target.join(periods, period, "left_anti")
-    incoming = source.select(
+    incoming = unique_rows(source, keys).select(
         *keys, *[F.col(name).alias(f"_new_{name}") for name in measures], F.lit(True).alias("_hit")
     )
-    merged = touched.join(incoming, list(keys), "full_outer").select(
+    return target.join(incoming, list(keys), "full_outer").select(
         *[
             name
             if name in keys
@@ -39,7 +44,6 @@ def upsert(
             for name in target.columns
         ]
     )
-    return merged if untouched is None else merged.unionByName(untouched)
 
 
 def update_from(
@@ -52,9 +56,9 @@ def update_from(
     """Set columns on target rows that have a source row; the others keep their values.
 
     ``assignments`` may use the target's columns and, prefixed ``new_``, the source's ``values``.
-    The source must be unique on ``keys``.
+    A key that the source holds twice is an error.
     """
-    incoming = source.select(
+    incoming = unique_rows(source, keys).select(
         *keys, *[F.col(v).alias(f"new_{v}") for v in values], F.lit(True).alias("_hit")
     )
     joined = target.join(incoming, list(keys), "left")
@@ -102,8 +106,18 @@ def key_violations(
 
 
 def clean_simple(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Typed columns from all-text ones; text that does not fit is NULL, empty rows are dropped."""
-    typed = df.select(
-        *[F.trim(name).try_cast(kind).alias(name) for name, kind in types.items()]
-    )
-    return typed.dropna(how="all")
+    """Typed columns from all-text ones; text that does not fit is NULL.
+
+    Only empty rows are dropped: those whose columns are all NULL or blank. A row whose text cannot
+    be read stays, with NULLs. Numbers are plain digits with an optional sign, point and exponent;
+    ``NaN``, ``Infinity``, ``5f`` and hexadecimal text are no numbers.
+    """
+    text = {name: F.trim(name) for name in types}
+    present = reduce(lambda a, b: a | b, [F.coalesce(t != "", F.lit(False)) for t in text.values()])
+
+    def typed(name: str, kind: str) -> Column:
+        numeric = kind.split("(")[0] in ("double", "float", "decimal", "bigint", "int", "smallint")
+        readable = F.when(text[name].rlike(NUMBER), text[name]) if numeric else text[name]
+        return readable.try_cast(kind).alias(name)
+
+    return df.filter(present).select(*[typed(name, kind) for name, kind in types.items()])

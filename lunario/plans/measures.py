@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,28 +45,54 @@ def kpi(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return last_non_blank(df, value, "fecha", keys)
 
 
-def named_kpis(t: Tables, base: str = "2011-01-01") -> DataFrame:
-    """Every headline figure in one table: name, date, value."""
-    spread = views.bank_spread(t).filter(F.col("moneda") == views.LOCAL)
-    sources: Mapping[str, tuple[DataFrame, str]] = {
-        "KPI_IMAE_Var_Int": (views.yearly_change(t, "imae", "imae", "v"), "v"),
-        "KPI_Inflacion_Interanual": (t["ipc"], "inflacion_interanual"),
-        "KPI_TC_Actual": (t["tc"], "tc"),
-        "KPI_RIN_Actual": (t["rin"], "rin"),
-        "KPI_Credito_Actual": (t["credito"], "credito"),
-        "KPI_TCR_Actual": (views.real_exchange_rate(t, base), "tcr"),
-        "KPI_Spread_CP": (spread, "spread_cp"),
-        "KPI_Spread_LP": (spread, "spread_lp"),
-        "KPI_LDR_Actual": (loan_to_deposit(t), "ldr"),
-    }
-    return reduce(
-        DataFrame.unionByName,
+def latest_figures(
+    figures: Sequence[tuple[str, DataFrame, str, Column | None]], label: str, keys: Keys = ()
+) -> DataFrame:
+    """Last-known value of several series in one aggregate: label, keys, currency, date, value.
+
+    Each figure is a name, a table, its value column and its currency column, if it has one. The
+    tables are laid end to end, and one hash aggregate that combines map side takes the newest value
+    of each figure, so the number of shuffles does not grow with the figures.
+    """
+    rows = [
+        df.filter(F.col(value).isNotNull()).select(
+            F.lit(name).alias(label),
+            *keys,
+            (F.lit(None).cast("string") if currency is None else currency).alias("moneda"),
+            "fecha",
+            F.col(value).cast("double").alias("valor"),
+        )
+        for name, df, value, currency in figures
+    ]
+    return (
+        reduce(DataFrame.unionByName, rows)
+        .groupBy(label, *keys, "moneda")
+        .agg(F.max_by("valor", "fecha").alias("valor"), F.max("fecha").alias("fecha"))
+        .select(label, *keys, "moneda", "fecha", "valor")
+    )
+
+
+def named_kpis(t: Tables, base: str = "2011-01-01", keys: Keys = ()) -> DataFrame:
+    """Every headline figure in one table: name, currency, date, value.
+
+    The bank spreads have one row for each currency; the other figures have none.
+    """
+    spread, currency = views.bank_spread(t, keys), F.col("moneda")
+    growth = views.yearly_change(t, "imae", "imae", "v", keys)
+    return latest_figures(
         [
-            kpi(df, value).select(
-                F.lit(name).alias("kpi"), "fecha", F.col("valor").cast("double").alias("valor")
-            )
-            for name, (df, value) in sources.items()
+            ("KPI_IMAE_Var_Int", growth, "v", None),
+            ("KPI_Inflacion_Interanual", t["ipc"], "inflacion_interanual", None),
+            ("KPI_TC_Actual", t["tc"], "tc", None),
+            ("KPI_RIN_Actual", t["rin"], "rin", None),
+            ("KPI_Credito_Actual", t["credito"], "credito", None),
+            ("KPI_TCR_Actual", views.real_exchange_rate(t, base, keys), "tcr", None),
+            ("KPI_Spread_CP", spread, "spread_cp", currency),
+            ("KPI_Spread_LP", spread, "spread_lp", currency),
+            ("KPI_LDR_Actual", loan_to_deposit(t, keys=keys), "ldr", None),
         ],
+        "kpi",
+        keys,
     )
 
 
@@ -217,7 +243,7 @@ def weight_summary(t: Tables, ceiling: float = WEIGHT_ALERT, keys: Keys = ()) ->
 
 
 def money_growth(t: Tables, keys: Keys = ()) -> DataFrame:
-    """Yearly growth of base money, M2 and reserves."""
+    """Yearly growth of base money, M2 and reserves; every month that either table has."""
     on = [*keys, "fecha"]
     money = period_change(
         t["bm"].select(*on, "base_monetaria", "m2"),
@@ -225,7 +251,9 @@ def money_growth(t: Tables, keys: Keys = ()) -> DataFrame:
         keys=keys,
     )
     reserves = period_change(t["rin"].select(*on, "rin"), {"rin": "var_int_rin"}, keys=keys)
-    return money.join(reserves, on, "left").select(*on, "var_int_bm", "var_int_m2", "var_int_rin")
+    return money.join(reserves, on, "full_outer").select(
+        *on, "var_int_bm", "var_int_m2", "var_int_rin"
+    )
 
 
 def inflation_zones(t: Tables, keys: Keys = ()) -> DataFrame:
@@ -274,21 +302,17 @@ def term_premium(t: Tables, keys: Keys = ()) -> DataFrame:
     return sides.withColumn("prima_plazo", ratio(F.col("spread_lp_mn"), F.col("spread_lp_me")))
 
 
-def external_risk(t: Tables) -> DataFrame:
+def external_risk(t: Tables, keys: Keys = ()) -> DataFrame:
     """Latest external exposure and reserve coverage, one row per measure."""
-    coverage = views.reserve_coverage(t)
-    measures = {
-        "exposicion_externa_pct": (views.external_exposure(t), "ratio_exposicion_externa_pct"),
-        "cobertura_rin_m1": (coverage, "cobertura_rin_m1"),
-        "cobertura_rin_m2": (coverage, "cobertura_rin_m2"),
-        "cobertura_rin_m2a": (coverage, "cobertura_rin_m2a"),
-    }
-    return reduce(
-        DataFrame.unionByName,
+    coverage = views.reserve_coverage(t, keys)
+    exposure = views.external_exposure(t, keys)
+    return latest_figures(
         [
-            kpi(df, value).select(
-                F.lit(name).alias("medida"), "fecha", F.col("valor").cast("double").alias("valor")
-            )
-            for name, (df, value) in measures.items()
+            ("exposicion_externa_pct", exposure, "ratio_exposicion_externa_pct", None),
+            ("cobertura_rin_m1", coverage, "cobertura_rin_m1", None),
+            ("cobertura_rin_m2", coverage, "cobertura_rin_m2", None),
+            ("cobertura_rin_m2a", coverage, "cobertura_rin_m2a", None),
         ],
-    )
+        "medida",
+        keys,
+    ).drop("moneda")

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lunario.functions.text import (
+    NUMBER,
     amount,
     cell_text,
     is_summary,
@@ -24,9 +26,9 @@ from lunario.functions.text import (
 from lunario.operators.fill import fill_down
 from lunario.operators.shape import unpivot_cells
 from lunario.operators.upkeep import collapse_duplicates, upsert
-from lunario.sources.files import read_aggregate_report
+from lunario.sources.files import read_aggregate_report, read_rate_report
 from lunario.sources.schemas import AGGREGATES, RATE_COLUMNS
-from lunario.sources.tables import snapshot
+from lunario.sources.tables import replace_periods, snapshot
 
 RATE_KEYS = ("moneda", "tipo_tasa", "instrumento", "plazo")
 
@@ -85,18 +87,20 @@ def tidy_rates(
 ) -> DataFrame:
     """Rate report -> one row per date, currency, kind, instrument and term; empty cells dropped.
 
-    A cell that is neither empty nor a number stops the load, as a wrong rate must not pass silently.
+    A cell that is neither empty nor a number (``NaN``, ``Infinity`` and ``5f`` are none) stops the load, as a wrong rate must not pass silently.
     """
     months = dated_lines(report, "fecha", line, within, block).select(
         *keys, F.col("_date").alias("fecha"), *RATE_COLUMNS
     )
     cells = unpivot_cells(months, [*keys, "fecha"], RATE_COLUMNS, RATE_KEYS, "_cell_text")
+    text = F.col("_cell_text")
+    rate = F.when(text.rlike(NUMBER), text.cast("double")).otherwise(
+        F.raise_error(F.concat(F.lit("not a rate: "), text)).cast("double")
+    )
     return (
-        cells.withColumn("_cell_text", cell_text(F.col("_cell_text")))
-        .filter(F.col("_cell_text").isNotNull())
-        .select(
-            *keys, "fecha", *RATE_KEYS, F.col("_cell_text").cast("double").alias("tasa_porcentaje")
-        )
+        cells.withColumn("_cell_text", cell_text(text))
+        .filter(text.isNotNull())
+        .select(*keys, "fecha", *RATE_KEYS, rate.alias("tasa_porcentaje"))
     )
 
 
@@ -104,7 +108,7 @@ def merge_aggregates(
     bm: DataFrame, tidy: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Monetary aggregates with a tidied report merged in by month."""
-    return upsert(bm, tidy.select(*bm.columns), [*keys, "fecha"], period="fecha")
+    return upsert(bm, tidy.select(*bm.columns), [*keys, "fecha"])
 
 
 def load_aggregate_csv(
@@ -119,7 +123,52 @@ def load_aggregate_csv(
 def load_aggregate_staging(
     spark: SparkSession, staging: DataFrame, bm: DataFrame, new_path: str, line: str = "source_row_id"
 ) -> DataFrame:
-    """Job: as ``load_aggregate_csv``, from a staging table that carries its own line id."""
+    """Job: as ``load_aggregate_csv``, from a staging table that carries its own line id.
+
+    The staging table is one file, so what its blocks inherit is worked out in one task that reads
+    one row for each 100,000 lines.
+    """
     tidy = tidy_aggregates(staging, line, within=(), block=None)
     snapshot(merge_aggregates(bm, tidy), new_path)
     return spark.read.parquet(new_path)
+
+
+def merge_periods(
+    spark: SparkSession, tidy: DataFrame, table_path: str, staged_path: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Job: merge a tidied report into a stored table partitioned by ``fecha``, in place.
+
+    The report is evaluated once, into ``staged_path``. Only partitions of its dates are read (the
+    dates prune the scan) and rewritten; the files of all others stay as they are. The new files of
+    a partition appear together when the job commits.
+    """
+    stored = spark.read.parquet(table_path)
+    if stored.schema["fecha"].dataType != T.DateType():
+        raise ValueError("the period must be a DATE column")
+    snapshot(tidy.select(*stored.columns), staged_path)
+    staged = spark.read.schema(stored.schema).parquet(staged_path)
+    touched = stored.join(staged.select("fecha").distinct(), "fecha", "left_semi")
+    replace_periods(upsert(touched, staged, [*keys, "fecha"]), table_path, "fecha")
+    return spark.read.parquet(table_path)
+
+
+def load_aggregate_csv_into(
+    spark: SparkSession, report_path: str, table_path: str, staged_path: str
+) -> DataFrame:
+    """Job: as ``load_aggregate_csv``, into a table partitioned by ``fecha``."""
+    tidy = tidy_aggregates(read_aggregate_report(spark, report_path))
+    return merge_periods(spark, tidy, table_path, staged_path)
+
+
+def load_rate_csv(spark: SparkSession, report_path: str, new_path: str) -> DataFrame:
+    """Job: read a rate report and publish it whole at ``new_path``; the old table is replaced by it."""
+    snapshot(tidy_rates(read_rate_report(spark, report_path)), new_path)
+    return spark.read.parquet(new_path)
+
+
+def load_rate_staging(
+    spark: SparkSession, staging: DataFrame, new_path: str, line: str = "source_row_id"
+) -> DataFrame:
+    """Job: as ``load_rate_csv``, from a staging table that carries its own line id."""
+    snapshot(tidy_rates(staging, line, within=(), block=None), new_path)
+    return spark.read.parquet(new_path)

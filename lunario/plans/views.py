@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lunario.functions.dates import month_name
@@ -285,11 +285,11 @@ def _growth(now: str, before: str) -> Column:
 
 
 def reserve_coverage(t: Tables, keys: Keys = ()) -> DataFrame:
-    """Reserves in local currency over each monetary aggregate, with yearly change."""
+    """Reserves in local currency (six decimals) over each monetary aggregate, with yearly change."""
     on = [*keys, "fecha"]
     reserves = (
         t["rin"].select(*on, "rin").join(t["tc"].select(*on, "tc"), on)
-        .select(*on, (F.col("rin") * F.col("tc")).alias("_reserves"))
+        .select(*on, (F.col("rin") * F.col("tc")).cast("decimal(18,6)").alias("_reserves"))
     )
     names = {
         aggregate: f"cobertura_rin_{'bm' if aggregate == 'base_monetaria' else aggregate}"
@@ -379,10 +379,11 @@ def yearly_inflation(t: Tables, peak_year: int = 2022, keys: Keys = ()) -> DataF
     )
 
 
-def policy_transmission(t: Tables, rows: int | None = 80, keys: Keys = ()) -> DataFrame:
-    """Interbank less reference rate, newest ``rows`` rows, and whether policy passes through.
+def policy_transmission(t: Tables, rows: int | None = None, keys: Keys = ()) -> DataFrame:
+    """Interbank less reference rate and whether policy passes through.
 
-    A month without a gap counts as a deviation. ``rows=None`` gives the whole history.
+    A month without a gap counts as a deviation. ``rows`` keeps the newest rows of each key, or
+    of the one series without keys.
     """
     on = [*keys, "fecha"]
     reference = t["trm"].select(*on, "trm").filter(F.col("trm").isNotNull())
@@ -400,7 +401,12 @@ def policy_transmission(t: Tables, rows: int | None = 80, keys: Keys = ()) -> Da
             *on, "moneda", "gap_transmision", "trm_mes_anterior", state.alias("estado_efectividad")
         )
     )
-    return history if rows is None else latest(history, rows, ties=[*keys, "moneda"])
+    if rows is None:
+        return history
+    if not keys:
+        return latest(history, rows, ties=["moneda"])
+    newest = Window.partitionBy(*keys).orderBy(F.col("fecha").desc(), "moneda")
+    return history.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= rows).drop("_n")
 
 
 def computed_inflation(t: Tables, keys: Keys = ()) -> DataFrame:

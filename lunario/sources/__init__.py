@@ -8,7 +8,7 @@ from lunario.sources.files import (
     with_line_order,
 )
 from lunario.sources.schemas import AGGREGATE_REPORT, CURRENCIES, RATE_REPORT, TABLES, inline_rows
-from lunario.sources.tables import append, read_table, replace, snapshot
+from lunario.sources.tables import append, read_table, replace, replace_periods, snapshot
 
 __all__ = [
     "AGGREGATE_REPORT",
@@ -23,6 +23,7 @@ __all__ = [
     "read_semicolon_table",
     "read_table",
     "replace",
+    "replace_periods",
     "snapshot",
     "with_line_order",
 ]

@@ -9,29 +9,27 @@ from pyspark.sql import types as T
 from lunario.sources.schemas import AGGREGATE_REPORT, RATE_REPORT
 
 
+# Separators, quotes and encoding of the three kinds of file.
+COMMA = {"sep": ","}
+#: ISO-8859-1 stands for Windows code page 1252, which Spark's reader does not accept; they agree on
+#: all Spanish letters.
+SEMICOLON = {"sep": ";", "encoding": "iso-8859-1"}
+QUOTED = {"sep": ",", "quote": '"', "enforceSchema": "true"}
+
+
 def read_comma_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Comma-separated table with one header line."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(header=True, **COMMA).csv(path)
 
 
 def read_semicolon_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Semicolon-separated Western European file without a header line.
-
-    ISO-8859-1 stands for Windows code page 1252, which Spark's reader does not accept; they agree
-    on all Spanish letters.
-    """
-    return spark.read.schema(schema).option("sep", ";").option("encoding", "iso-8859-1").csv(path)
+    """Semicolon-separated Western European file without a header line."""
+    return spark.read.schema(schema).options(**SEMICOLON).csv(path)
 
 
 def read_aggregate_report(spark: SparkSession, path: str) -> DataFrame:
     """Monetary-aggregate report (quoted UTF-8, one header line) with its line order."""
-    raw = (
-        spark.read.schema(AGGREGATE_REPORT)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("quote", '"')
-        .csv(path)
-    )
+    raw = spark.read.schema(AGGREGATE_REPORT).options(header=True, **QUOTED).csv(path)
     return with_line_order(raw)
 
 

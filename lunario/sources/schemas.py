@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Columns and types of the base tables.
@@ -77,5 +78,15 @@ RATE_REPORT = all_text(["fecha", *RATE_COLUMNS])
 
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small table written in the code: currency names, manual corrections."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small table written in the code: currency names, manual corrections.
+
+    It is a VALUES list, whose size the planner knows, so joins on it are broadcast from the start.
+    """
+    fields = T.StructType.fromDDL(schema)
+    marks = ", ".join(
+        "(" + ", ".join(f":p{r}_{c}" for c in range(len(fields))) + ")" for r in range(len(rows))
+    )
+    values = {f"p{r}_{c}": value for r, row in enumerate(rows) for c, value in enumerate(row)}
+    names = ", ".join(f"`{field.name}`" for field in fields)
+    table = spark.sql(f"SELECT * FROM VALUES {marks} AS t({names})", values)
+    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])

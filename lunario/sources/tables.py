@@ -1,4 +1,5 @@
-"""Parquet tables. Every write goes to a path nobody reads; losing a task only repeats it."""
+"""Parquet tables. Losing a task only repeats it; all writes but ``replace_periods`` go to a path
+nobody reads."""
 
 from __future__ import annotations
 
@@ -27,3 +28,12 @@ def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 def snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write to a new path; fails if it is taken, so a published version is never changed."""
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+
+
+def replace_periods(df: DataFrame, path: str, period: str) -> None:
+    """Replace the partitions of a stored table whose periods occur in ``df``, and no others.
+
+    ``df`` may read ``path``: the new files are staged and moved in when the job commits.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(period).parquet(path)

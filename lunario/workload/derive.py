@@ -16,13 +16,10 @@ from pyspark.sql import functions as F
 
 from lunario.functions.dates import month_start
 from lunario.operators.change import period_change
-from lunario.sources.schemas import AGGREGATES
+from lunario.sources.schemas import AGGREGATES, RATE_CELLS
 
 CENTS = 100
 
-# Months left out of the foreign price index, so that it has a gap.
-GAP_MONTHS = ("1998-10-01", "1998-11-01")
-
 # Rate kind, instrument and term of each return flag.
 FLAG_RATES = {
     "A": ("Activa", "Préstamo", "Corto Plazo"),
@@ -39,6 +36,14 @@ _RATE_ROWS = [
 ]
 
 
+# Lines of a currency by return flag and line number, one kind of line for each cell of the report.
+_CELL_ROWS = [
+    (status, f"l_returnflag = '{'ANR'[n // 3]}' AND l_linenumber % 3 = {n % 3}", (currency, *labels))
+    for status, currency in STATUS_CURRENCY.items()
+    for n, labels in enumerate(RATE_CELLS.values())
+]
+
+
 def exact_sum(value: Column) -> Column:
     """Sum of two-decimal amounts without rounding error: whole cents add up exactly, in any order."""
     return F.sum(F.rint(value * CENTS).cast("long")) / CENTS
@@ -74,6 +79,9 @@ _SHIPMENT_MEASURES = {
         _mean("l_discount", f"l_linestatus = '{s}' AND l_returnflag = '{f}'", 100)
         for s, f, _ in _RATE_ROWS
     ],
+    "tasas_reporte": [
+        _mean("l_discount", f"l_linestatus = '{s}' AND {kind}", 100) for s, kind, _ in _CELL_ROWS
+    ],
 }
 
 #: Value of every row each order-based table has per period; ``bm`` is one wide row.
@@ -92,12 +100,12 @@ def base_tables(
     sf_dir: str,
     *names: str,
     keyed: bool = False,
-    period: tuple[str, str] | None = None,
+    period: tuple[str | None, str | None] | None = None,
 ) -> dict[str, DataFrame]:
     """The named base tables; ``keyed`` adds ``entidad``, one series per supplier or customer.
 
-    ``period`` (first month, first month after) limits the scan on the raw timestamp, which
-    reaches the Parquet reader.
+    ``period`` (first month, first month after; None is open) limits the scan on the raw timestamp,
+    which reaches the Parquet reader.
     """
     tables: dict[str, DataFrame] = {}
     for source in (_SHIPMENTS, _ORDERS):
@@ -112,9 +120,11 @@ def base_tables(
 def _monthly(spark, sf_dir: str, source, keyed: bool, period) -> DataFrame:
     file, moment, entity, _ = source
     fact = spark.read.parquet(f"{sf_dir}/{file}.parquet").filter(F.col(moment).isNotNull())
-    if period:
-        first, after = (F.lit(end).cast("timestamp_ntz") for end in period)
-        fact = fact.filter((F.col(moment) >= first) & (F.col(moment) < after))
+    first, after = period or (None, None)
+    if first:
+        fact = fact.filter(F.col(moment) >= F.lit(first).cast("timestamp_ntz"))
+    if after:
+        fact = fact.filter(F.col(moment) < F.lit(after).cast("timestamp_ntz"))
     dated = fact.withColumn("fecha", month_start(F.col(moment))).filter(F.col("fecha").isNotNull())
     if not keyed:
         return dated
@@ -132,9 +142,6 @@ def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[
             for measure, alias in zip(source[3][name], aliases, strict=True)
         ]
     )
-    if "cpi_usa" in held:
-        gap = ", ".join(f"DATE '{month}'" for month in GAP_MONTHS)
-        held["cpi_usa"] = [f"CASE WHEN fecha NOT IN ({gap}) THEN _cpi_usa_0 END"]
     rows = [
         (name, position, values)
         for name, columns in held.items()
@@ -155,12 +162,15 @@ def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[
 def _table(stacked: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
     present, columns = "_v0", [f"_v0 AS {name}"]
     if name == "bm":
-        present, columns = "_v6", [f"_v{i} AS {a}" for i, a in enumerate(AGGREGATES)]
+        present, columns = "_v6", [
+            f"cast(_v{i} AS decimal(18,4)) AS {a}" for i, a in enumerate(AGGREGATES)
+        ]
     elif name == "tasa_interbancaria":
         columns = [f"{_label(STATUS_CURRENCY.values())} AS moneda", "_v0 AS tasa"]
-    elif name == "tasas_interes":
+    elif name in ("tasas_interes", "tasas_reporte"):
         names = ("moneda", "tipo_tasa", "instrumento", "plazo")
-        columns = [f"{_label(row[2][i] for row in _RATE_ROWS)} AS {n}" for i, n in enumerate(names)]
+        kinds = _RATE_ROWS if name == "tasas_interes" else _CELL_ROWS
+        columns = [f"{_label(row[2][i] for row in kinds)} AS {n}" for i, n in enumerate(names)]
         columns.append("_v0 AS tasa_porcentaje")
     own = stacked.filter(f"_table = '{name}' AND {present} IS NOT NULL")
     return own.selectExpr(*ids, *columns)

@@ -28,7 +28,6 @@ def lagged(column: str, rows: int, keys: str = "") -> str:
 
 SHIP, ORDER = month("l_shipdate"), month("o_orderdate")
 CURRENCY = "CASE l_linestatus WHEN 'O' THEN 'MN' ELSE 'ME' END"
-GAP = "DATE '1998-10-01', DATE '1998-11-01'"
 CELL = (
     "3 * (CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) + "
     "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
@@ -36,6 +35,7 @@ CELL = (
 AGGREGATES = {
     "base_monetaria": 3, "m1": 5, "m1a": 7, "m2": 9, "m2a": 11, "m3": 13, "m3a": 15
 }
+# Rate kind, instrument and term of each return flag.
 LABELS = """CASE l_returnflag WHEN 'R' THEN 'Pasiva' ELSE 'Activa' END AS tipo_tasa,
     CASE l_returnflag WHEN 'R' THEN 'Depósitos de ahorro' ELSE 'Préstamo' END AS instrumento,
     CASE l_returnflag WHEN 'A' THEN 'Corto Plazo' WHEN 'N' THEN 'Largo Plazo'
@@ -63,7 +63,7 @@ def base(prefix: str) -> dict[str, str]:
         f"{part}ORDER BY fecha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dic "
         f"FROM {prefix}precio)",
         "cpi_usa": f"SELECT {ship}, {total('l_extendedprice')} / COUNT(*) AS cpi_usa FROM lineitem "
-        f"WHERE l_linestatus = 'F' AND {SHIP} NOT IN ({GAP}) GROUP BY ALL",
+        f"WHERE l_linestatus = 'F' GROUP BY ALL",
         "imae": f"SELECT {ship}, {total('l_quantity')} AS imae FROM lineitem GROUP BY ALL",
         "tc": f"SELECT {ship}, {total('l_quantity')} / COUNT(*) AS tc FROM lineitem "
         "WHERE l_linestatus = 'O' GROUP BY ALL",
@@ -124,7 +124,7 @@ CTES: dict[str, str] = {
     "WHERE l12 IS NOT NULL AND c12 IS NOT NULL",
     "cobertura0": "SELECT fecha, "
     + ", ".join(
-        f"rin * tc / NULLIF({a}, 0) AS cobertura_rin_{'bm' if a == 'base_monetaria' else a}"
+        f"CAST(CAST(rin * tc AS DECIMAL(18,6)) AS DOUBLE) / NULLIF({a}, 0) AS cobertura_rin_{'bm' if a == 'base_monetaria' else a}"
         for a in AGGREGATES
     )
     + " FROM rin JOIN tc USING (fecha) JOIN bm USING (fecha)",
@@ -206,6 +206,34 @@ oracle(
     "WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY ALL",
     rounded="importe",
 )
+oracle(
+    "a1_comma_csv",
+    "SELECT o_orderkey AS pedido, CAST(o_orderdate AS DATE) AS fecha, o_totalprice AS importe "
+    "FROM orders",
+    rounded="importe",
+)
+# Spanish month names, January first.
+NAMES = (
+    "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', "
+    "'septiembre', 'octubre', 'noviembre', 'diciembre']"
+)
+oracle(
+    "a2_semicolon_csv",
+    "SELECT l_orderkey AS pedido, CAST(l_linenumber AS BIGINT) AS linea, "
+    f"{NAMES}[month(l_shipdate)] AS mes, 'Depósitos, año' AS instrumento, l_tax AS tasa FROM lineitem",
+    rounded="tasa",
+)
+oracle(
+    "a3_quoted_csv",
+    "SELECT CAST(month(fecha) AS BIGINT) AS numero_mes, COUNT(*) AS filas, "
+    "SUM(CAST(m3a AS DECIMAL(18,4))) AS m3a FROM e_bm GROUP BY ALL",
+    "e_bm",
+    "m3a",
+)
+oracle(
+    "a5_row_order",
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS posicion FROM orders",
+)
 oracle(
     "a7_month_calendar",
     "SELECT entidad, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS fecha FROM "
@@ -247,7 +275,7 @@ oracle(
         + f" AS urgente FROM orders WHERE {where} GROUP BY ALL) {name}"
         for name, where in (
             ("t", "o_orderdate < '2000-01-01'"),
-            ("s", "o_orderdate >= '1999-07-01' AND o_orderstatus = 'O'"),
+            ("s", "o_orderdate >= '1999-07-01'"),
         )
     )
     + " ON s.entidad = t.entidad AND s.fecha = t.fecha",
@@ -470,6 +498,13 @@ oracle(
     f"SELECT entidad, source_row_id, anio AS anio_real FROM ({LINES})",
 )
 
+oracle(
+    "f6_group_max",
+    "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, "
+    "MAX(l_quantity) OVER (PARTITION BY l_orderkey) AS mayor_cantidad FROM lineitem",
+    rounded="l_quantity mayor_cantidad",
+)
+
 # --- sorts and sets ---------------------------------------------------------------------------
 
 oracle(
@@ -543,12 +578,32 @@ oracle(
 )
 MONEY = " ".join(AGGREGATES)
 oracle("j6_report_tidy", "SELECT * FROM e_bm", "e_bm", MONEY)
+# Kind, instrument and term of the nine cells of the rate report.
+CELLS = [
+    ("Pasiva", "Depósitos de ahorro", "Sin plazo fijo"),
+    ("Pasiva", "Depósitos a Plazo", "1 mes"),
+    ("Pasiva", "Depósitos a Plazo", "3 meses"),
+    ("Pasiva", "Depósitos a Plazo", "6 meses"),
+    ("Pasiva", "Depósitos a Plazo", "9 meses"),
+    ("Pasiva", "Depósitos a Plazo", "1 año"),
+    ("Pasiva", "Depósitos a Plazo", "Más de 1 año"),
+    ("Activa", "Préstamo", "Corto Plazo"),
+    ("Activa", "Préstamo", "Largo Plazo"),
+]
 oracle(
     "j7_unpivot_rates",
-    "SELECT entidad, fecha, moneda, tipo_tasa, instrumento, plazo, tasa_porcentaje FROM e_tasas",
-    "e_tasas",
-    "tasa_porcentaje",
+    "SELECT entidad, fecha, moneda, "
+    + ", ".join(
+        f"[{', '.join(repr(c[n]) for c in CELLS)}][n] AS {name}"
+        for n, name in enumerate(("tipo_tasa", "instrumento", "plazo"))
+    )
+    + ", tasa_porcentaje FROM (SELECT l_suppkey AS entidad, "
+    f"{SHIP} AS fecha, {CURRENCY} AS moneda, "
+    "3 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + l_linenumber % 3 + 1 AS n, "
+    f"100 * {total('l_discount')} / COUNT(*) AS tasa_porcentaje FROM lineitem GROUP BY ALL)",
+    rounded="tasa_porcentaje",
 )
+oracle("j9_staging_tidy", "SELECT * FROM bm", "bm", MONEY)
 oracle(
     "j8_report_upsert",
     "SELECT entidad, fecha, "
@@ -622,6 +677,17 @@ oracle(
     "peso",
     "peso_estado var_inter_credito var_inter_spnf",
 )
+oracle(
+    "k9_stored_weight",
+    "SELECT fecha, peso_estado, var_inter_credito, var_inter_spnf FROM (SELECT fecha, peso_estado, "
+    f"{change('credito', lagged('credito', 12))} AS var_inter_credito, "
+    f"{change('liq', lagged('liq', 12))} AS var_inter_spnf FROM (SELECT fecha, credito, m2a - m2 AS "
+    "liq, CAST(CAST(m2a - m2 AS DECIMAL(18,6)) AS DOUBLE) / NULLIF(m3a, 0) AS peso_estado "
+    "FROM bm JOIN credito USING (fecha))) "
+    "WHERE var_inter_credito IS NOT NULL AND var_inter_spnf IS NOT NULL",
+    "bm credito",
+    "peso_estado var_inter_credito var_inter_spnf",
+)
 COVERAGE = " ".join(
     f"{prefix}cobertura_rin_{'bm' if a == 'base_monetaria' else a}"
     for a in AGGREGATES
@@ -687,10 +753,10 @@ oracle(
 )
 oracle(
     "k18_yearly_changes",
-    f"SELECT fecha, imae, {change('imae', lagged('imae', 12))} AS var_inter_imae, credito, "
-    "var_inter_credito, tc, var_inter_tc FROM imae LEFT JOIN "
+    "SELECT fecha, imae, var_inter_imae, credito, var_inter_credito, tc, var_inter_tc FROM "
+    f"(SELECT *, {change('imae', lagged('imae', 12))} AS var_inter_imae FROM imae) FULL JOIN "
     f"(SELECT *, {change('credito', lagged('credito', 12))} AS var_inter_credito FROM credito) "
-    f"USING (fecha) LEFT JOIN (SELECT *, {change('tc', lagged('tc', 12))} AS var_inter_tc FROM tc) "
+    f"USING (fecha) FULL JOIN (SELECT *, {change('tc', lagged('tc', 12))} AS var_inter_tc FROM tc) "
     "USING (fecha)",
     "imae credito tc",
     "imae var_inter_imae credito var_inter_credito tc var_inter_tc",
@@ -703,7 +769,8 @@ oracle(
 )
 oracle(
     "k20_reserves_local",
-    "SELECT fecha, rin, rin * tc AS rin_nio FROM rin LEFT JOIN tc USING (fecha)",
+    "SELECT fecha, rin / 1000 AS rin, CAST(rin / 1000 * tc AS DECIMAL(14,6)) AS rin_nio "
+    "FROM rin LEFT JOIN tc USING (fecha)",
     "rin tc",
     "rin rin_nio",
 )
@@ -761,9 +828,12 @@ oracle(
 )
 
 
-def newest(name: str, table: str, column: str, label: str = "kpi", where: str = "TRUE") -> str:
+def newest(name: str, table: str, column: str, label: str = "kpi", code: str = "") -> str:
+    currency = {"kpi": f"'{code}' AS moneda, " if code else "CAST(NULL AS VARCHAR) AS moneda, "}
+    where = f"moneda = '{code}'" if code else "TRUE"
     return (
-        f"SELECT * FROM (SELECT '{name}' AS {label}, fecha, CAST({column} AS DOUBLE) AS valor "
+        f"SELECT * FROM (SELECT '{name}' AS {label}, {currency.get(label, '')}fecha, "
+        f"CAST({column} AS DOUBLE) AS valor "
         f"FROM {table} WHERE {column} IS NOT NULL AND {where} ORDER BY fecha DESC LIMIT 1)"
     )
 
@@ -778,8 +848,11 @@ oracle(
             newest("KPI_RIN_Actual", "rin", "rin"),
             newest("KPI_Credito_Actual", "credito", "credito"),
             newest("KPI_TCR_Actual", "tcr", "tcr"),
-            newest("KPI_Spread_CP", "margen", "spread_cp", where="moneda = 'MN'"),
-            newest("KPI_Spread_LP", "margen", "spread_lp", where="moneda = 'MN'"),
+            *[
+                newest(f"KPI_Spread_{end}", "margen", f"spread_{end.lower()}", code=code)
+                for end in ("CP", "LP")
+                for code in ("MN", "ME")
+            ],
             newest("KPI_LDR_Actual", "ldr", "ldr"),
         ]
     ),
@@ -793,6 +866,7 @@ oracle(
     "peso",
     "peso_estado crowding_buffer",
 )
+# Growth and inflation limits of the four macro states, their names and codes.
 MACRO = [
     (">= 0.035", "<= 0.03", "Expansión con anclaje", 1),
     (">= 0.035", "> 0.03", "Expansión con presión", 2),
@@ -866,8 +940,9 @@ oracle(
 )
 oracle(
     "l13_money_growth",
-    f"SELECT fecha, {change('base_monetaria', lagged('base_monetaria', 12))} AS var_int_bm, "
-    f"{change('m2', lagged('m2', 12))} AS var_int_m2, var_int_rin FROM bm LEFT JOIN "
+    "SELECT fecha, var_int_bm, var_int_m2, var_int_rin FROM (SELECT fecha, "
+    f"{change('base_monetaria', lagged('base_monetaria', 12))} AS var_int_bm, "
+    f"{change('m2', lagged('m2', 12))} AS var_int_m2 FROM bm) FULL JOIN "
     f"(SELECT fecha, {change('rin', lagged('rin', 12))} AS var_int_rin FROM rin) USING (fecha)",
     "bm rin",
     "var_int_bm var_int_m2 var_int_rin",

@@ -8,6 +8,7 @@ pass over the facts reduces to a row per month.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from lunario.operators import (
     conditional_pivot,
     delete_where,
     densify,
+    fill_down,
     fill_within_group,
     key_counts,
     key_violations,
@@ -39,7 +41,13 @@ from lunario.operators import (
 )
 from lunario.plans import measures, views
 from lunario.plans.reports import dated_lines, merge_aggregates, tidy_aggregates, tidy_rates
-from lunario.sources.schemas import AGGREGATES, CURRENCIES, inline_rows
+from lunario.sources.files import COMMA, QUOTED, SEMICOLON, with_line_order
+from lunario.sources.schemas import (
+    AGGREGATE_REPORT,
+    AGGREGATES,
+    CURRENCIES,
+    inline_rows,
+)
 from lunario.workload.derive import base_tables, exact_sum
 from lunario.workload.render import aggregate_report, rate_report
 
@@ -126,6 +134,50 @@ def _(spark, d):
     return totals.join(names, "l_returnflag").select("nombre", "filas", "importe")
 
 
+def parsed(lines: DataFrame, schema: str, options: dict[str, str]) -> DataFrame:
+    """Text lines read as the CSV readers read a file: same options, declared schema."""
+    own = {name: value for name, value in options.items() if name != "encoding"}
+    return lines.select(F.from_csv("line", schema, own).alias("_row")).select("_row.*")
+
+
+@query("a1_comma_csv")
+def _(spark, d):
+    fields = ("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_totalprice")
+    lines = fact(spark, d, "orders").select(F.concat_ws(",", *fields).alias("line"))
+    return parsed(lines, "pedido bigint, fecha date, importe double", COMMA)
+
+
+@query("a2_semicolon_csv")
+def _(spark, d):
+    day = month_start(F.col("l_shipdate"))
+    fields = ("l_orderkey", "l_linenumber", month_name(day), F.lit("Depósitos, año"), "l_tax")
+    lines = fact(spark, d, "lineitem").select(F.concat_ws(";", *fields).alias("line"))
+    schema = "pedido bigint, linea bigint, mes string, instrumento string, tasa double"
+    return parsed(lines, schema, SEMICOLON)
+
+
+@query("a3_quoted_csv")
+def _(spark, d):
+    report = aggregate_report(keyed(spark, d, "bm")["bm"], KEY)
+    names = AGGREGATE_REPORT.names
+    wide = report.select(*[n if n in report.columns else F.lit(None).alias(n) for n in names])
+    cells = [F.concat(F.lit('"'), F.coalesce(F.col(n), F.lit("")), F.lit('"')) for n in names]
+    months = parsed(
+        wide.select(F.concat_ws(",", *cells).alias("line")), AGGREGATE_REPORT.toDDL(), QUOTED
+    ).filter(month_number(F.col("anio_mes")).isNotNull())
+    return months.groupBy(month_number(F.col("anio_mes")).alias("numero_mes")).agg(
+        F.count(F.lit(1)).alias("filas"), F.sum(amount(F.col("m3a"))).alias("m3a")
+    )
+
+
+@query("a5_row_order")
+def _(spark, d):
+    lines = with_line_order(fact(spark, d, "orders").select("o_orderkey", "_metadata"))
+    return running_count(lines, "o_orderkey", "posicion", "linea", ["archivo"], "bloque").select(
+        "o_orderkey", "posicion"
+    )
+
+
 @query("a7_month_calendar")
 def _(spark, d):
     dates = fact(spark, d, "lineitem").select(
@@ -163,7 +215,7 @@ def _(spark, d):
         .when(partial, "n.d.")
         .otherwise(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd")))
         .alias("fecha"),
-        F.when(lost, "-")
+        F.when(lost, " ")
         .otherwise(F.concat(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" ")))
         .alias("total"),
     )
@@ -178,11 +230,7 @@ def _(spark, d):
     orders = fact(spark, d, "orders")
     day = F.col("o_orderdate")
     target = customer_months(orders.filter(day < F.lit("2000-01-01").cast("timestamp_ntz")))
-    source = customer_months(
-        orders.filter(
-            (day >= F.lit("1999-07-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "O")
-        )
-    )
+    source = customer_months(orders.filter(day >= F.lit("1999-07-01").cast("timestamp_ntz")))
     return upsert(target, source, [*KEY, "fecha"])
 
 
@@ -438,13 +486,19 @@ def _(spark, d):
 
 @query("f6_group_fill")
 def _(spark, d):
+    # every group of lines opens with its header, so the greatest year so far is the group's
     lines = _with_years(_staging(spark, d))
-    grouped = running_count(lines, "anio_detectado", "grupo_anio", "source_row_id", KEY)
-    return fill_within_group(grouped, "anio_detectado", "anio_real", [*KEY, "grupo_anio"]).select(
+    return fill_down(lines, "anio_detectado", "anio_real", "source_row_id", KEY).select(
         *KEY, "source_row_id", "anio_real"
     )
 
 
+@query("f6_group_max")
+def _(spark, d):
+    lines = fact(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return fill_within_group(lines, "l_quantity", "mayor_cantidad", ["l_orderkey"])
+
+
 # --- sorts and sets ---------------------------------------------------------------------------
 
 
@@ -570,16 +624,22 @@ def _(spark, d):
 
 @query("j7_unpivot_rates")
 def _(spark, d):
-    report = rate_report(keyed(spark, d, "tasas_interes")["tasas_interes"], KEY)
+    report = rate_report(keyed(spark, d, "tasas_reporte")["tasas_reporte"], KEY)
     return tidy_rates(report, "source_row_id", KEY, block=None, keys=KEY)
 
 
+@query("j9_staging_tidy")
+def _(spark, d):
+    staging = aggregate_report(base_tables(spark, d, "bm")["bm"])
+    return tidy_aggregates(staging, "source_row_id", within=(), block=None)
+
+
 @query("j8_report_upsert")
 def _(spark, d):
-    stored = keyed(spark, d, "bm", period=("1995-01-01", "2000-01-01"))["bm"].withColumns(
+    stored = keyed(spark, d, "bm", period=(None, "2000-01-01"))["bm"].withColumns(
         {name: (F.col(name) + 1).cast("decimal(18,4)") for name in AGGREGATES}
     )
-    fresh = keyed(spark, d, "bm", period=("1999-01-01", "2002-01-01"))["bm"]
+    fresh = keyed(spark, d, "bm", period=("1999-01-01", None))["bm"]
     tidy = tidy_aggregates(
         aggregate_report(fresh, KEY), "source_row_id", KEY, block=None, keys=KEY
     )
@@ -616,6 +676,9 @@ view("k6_crawl_gap", "ipc", "tc")(views.crawl_gap)
 view("k7_term_curve", "tasas_interes")(views.term_curve)
 view("k8_external_exposure", "bm")(views.external_exposure)
 view("k9_public_sector_weight", "bm", "credito")(views.public_sector_weight)
+view("k9_stored_weight", "bm", "credito")(
+    lambda t: views.public_sector_weight(t, rounded=True)
+)
 view("k10_reserve_coverage", "rin", "tc", "bm")(views.reserve_coverage)
 view("k11_rate_parity", "tasas_interes", "ipc", "cpi_usa")(views.rate_parity)
 view("k12_real_exchange_rate", "tc", "ipc", "cpi_usa")(
@@ -626,7 +689,9 @@ view("k14_term_rates_interbank", "tasas_interes", "tasa_interbancaria")(
     views.term_rates_with_interbank
 )
 view("k15_spread_history", "tasas_interes", "tasa_interbancaria")(views.bank_spread_history)
-view("k16_policy_transmission", "trm", "tasa_interbancaria")(views.policy_transmission)
+view("k16_policy_transmission", "trm", "tasa_interbancaria")(
+    lambda t: views.policy_transmission(t, rows=80)
+)
 
 
 @view("k17_computed_inflation", "ipc")
@@ -643,16 +708,15 @@ def _(t):
     changed = [
         views.yearly_change(t, name, name, f"var_inter_{name}") for name in ("imae", "credito", "tc")
     ]
-    return spine_join(
-        changed[0],
-        [(df, [n, f"var_inter_{n}"]) for n, df in zip(("credito", "tc"), changed[1:], strict=True)],
-        ["fecha"],
-    )
+    return reduce(lambda left, right: left.join(right, "fecha", "full_outer"), changed)
 
 
 view("k19_relative_inflation_gap", "ipc", "tc", "cpi_usa")(views.relative_inflation_gap)
 view("k20_reserves_local", "rin", "tc")(
-    lambda t: views.reserves_local_currency(t, "double")
+    # in thousands, so that the declared decimal holds them
+    lambda t: views.reserves_local_currency(
+        t | {"rin": t["rin"].withColumn("rin", F.col("rin") / 1000)}
+    )
 )
 
 
@@ -670,7 +734,7 @@ def _(spark, d):
 
 @query("k22_money_differences")
 def _(spark, d):
-    bm = base_tables(spark, d, "bm", period=("2000-07-01", "9999-12-31"))
+    bm = base_tables(spark, d, "bm", period=("2000-07-01", None))
     return views.money_differences(bm, "2000-07-01")
 
 
@@ -689,10 +753,7 @@ def _(spark, d):
 
 @query("k25_lending_rate_of_year")
 def _(spark, d):
-    # Two years before the year shown are enough for its yearly inflation and the index gap.
-    t = base_tables(
-        spark, d, "tasas_interes", "ipc", "cpi_usa", period=("1998-01-01", "2001-01-01")
-    )
+    t = base_tables(spark, d, "tasas_interes", "ipc", "cpi_usa")
     return views.real_lending_rate_of_year(t, 2000)
 
 

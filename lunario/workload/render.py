@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lunario.functions.dates import month_name
@@ -26,8 +26,7 @@ def aggregate_report(bm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         ("base_mon" if name == "base_monetaria" else name): F.format_number(F.col(name), 4)
         for name in AGGREGATES
     }
-    means = {name: F.avg(name).alias(name) for name in AGGREGATES}
-    return _report(bm, keys, "anio_mes", cells, means)
+    return _report(bm, keys, "anio_mes", cells, AGGREGATES)
 
 
 def rate_report(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -46,8 +45,7 @@ def rate_report(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         name: F.expr(f"coalesce(cast({name} AS string), {empty.get(name.split('_')[-1], 'NULL')})")
         for name in RATE_COLUMNS
     }
-    means = {name: F.avg(name).alias(name) for name in RATE_COLUMNS}
-    return _report(wide, keys, "fecha", cells, means)
+    return _report(wide, keys, "fecha", cells, list(RATE_COLUMNS))
 
 
 def _report(
@@ -55,32 +53,46 @@ def _report(
     keys: Sequence[str],
     label: str,
     cells: dict[str, Column],
-    means: dict[str, Column],
+    names: Sequence[str],
 ) -> DataFrame:
+    """Month lines come from the table; the first month of a year also brings the year's header,
+    mean and note lines, so the table is read once."""
     year, month = F.year("fecha"), F.month("fecha")
-    provisional = year >= PROVISIONAL_FROM
-    months = wide.select(
-        *keys,
-        (year * 100 + month).alias("source_row_id"),
-        F.concat(
-            F.initcap(month_name(F.col("fecha"))), F.when(provisional, " 1/").otherwise("")
-        ).alias(label),
-        *[cell.alias(name) for name, cell in cells.items()],
-    )
-    yearly = wide.groupBy(*keys, year.alias("_year")).agg(*means.values())
-    lines = yearly.withColumn(
-        "_line", F.explode(F.array(*[F.lit(line) for line in (_HEADER, _MEAN, _NOTE)]))
-    )
-    header = F.concat(
-        F.col("_year").cast("string"), F.when(F.col("_year") >= PROVISIONAL_FROM, " p/").otherwise("")
+    of_year = Window.partitionBy(*keys, year)
+    lines = (
+        wide.withColumns(
+            {
+                "_opens": F.min("fecha").over(of_year) == F.col("fecha"),
+                **{f"_mean_{name}": F.avg(name).over(of_year) for name in names},
+            }
+        )
+        .withColumn(
+            "_line",
+            F.explode(
+                F.when(
+                    F.col("_opens"), F.array(month, *[F.lit(n) for n in (_HEADER, _MEAN, _NOTE)])
+                ).otherwise(F.array(month))
+            ),
+        )
+        .withColumns(
+            {n: F.when(F.col("_line") == _MEAN, F.col(f"_mean_{n}")).otherwise(F.col(n)) for n in names}
+        )
     )
-    others = lines.select(
+    line, provisional = F.col("_line"), year >= PROVISIONAL_FROM
+    return lines.select(
         *keys,
-        (F.col("_year") * 100 + F.col("_line")).alias("source_row_id"),
-        F.when(F.col("_line") == _HEADER, header)
-        .when(F.col("_line") == _MEAN, "Promedio")
-        .otherwise("Fuente: registros propios")
+        (year * 100 + line).alias("source_row_id"),
+        F.when(
+            line == _HEADER,
+            F.concat(year.cast("string"), F.when(provisional, " p/").otherwise("")),
+        )
+        .when(line == _MEAN, "Promedio")
+        .when(line == _NOTE, "Fuente: registros propios")
+        .otherwise(
+            F.concat(
+                F.initcap(month_name(F.col("fecha"))), F.when(provisional, " 1/").otherwise("")
+            )
+        )
         .alias(label),
-        *[F.when(F.col("_line") == _MEAN, cell).alias(name) for name, cell in cells.items()],
+        *[F.when(line.between(1, _MEAN), cell).alias(name) for name, cell in cells.items()],
     )
-    return months.unionByName(others)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lunario.operators import (
     attach_constant,
+    clean_simple,
     collapse_duplicates,
     delete_where,
     densify,
@@ -15,6 +16,7 @@ from lunario.operators import (
     fill_within_group,
     key_violations,
     last_non_blank,
+    month_calendar,
     period_change,
     previous_value,
     profile,
@@ -160,14 +162,61 @@ MERGED = [
 ]
 
 
-@pytest.mark.parametrize("period", [None, "fecha"])
-def test_upsert(target, source, period):
-    once = upsert(target, source, ["fecha"], period)
+def test_upsert(target, source):
+    once = upsert(target, source, ["fecha"])
     assert rows(once, "fecha") == MERGED
-    assert rows(upsert(once, source, ["fecha"], period), "fecha") == MERGED
-    assert rows(upsert(target, source.limit(0), ["fecha"], period), "fecha") == rows(
-        target, "fecha"
+    assert rows(upsert(once, source, ["fecha"]), "fecha") == MERGED
+    assert rows(upsert(target, source.limit(0), ["fecha"]), "fecha") == rows(target, "fecha")
+
+
+def test_a_doubled_source_key_is_an_error(target, source):
+    doubled = source.unionByName(source.limit(1))
+    with pytest.raises(Exception, match="twice"):
+        upsert(target, doubled, ["fecha"]).collect()
+    with pytest.raises(Exception, match="twice"):
+        update_from(target, doubled, ["fecha"], {"y": F.col("new_y")}, ["y"]).count()
+
+
+def test_null_keys_are_keys(spark):
+    """A NULL file, series or group behaves like a named one, also across blocks."""
+    data = [(f, n, 2000 + n if n in (1, 150) else None) for f in (None, "a") for n in range(1, 300)]
+    df = spark.createDataFrame(data, "archivo string, linea long, anio int").withColumn(
+        "bloque", (F.col("linea") / 100).cast("int")
     )
+    filled = fill_down(df, "anio", "real", "linea", ["archivo"], "bloque")
+    counted = running_count(df, "anio", "grupo", "linea", ["archivo"], "bloque")
+    for file in (None, "a"):
+        own = F.col("archivo").eqNullSafe(F.lit(file))
+        years = [r.real for r in filled.filter(own).orderBy("linea").collect()]
+        groups = [r.grupo for r in counted.filter(own).orderBy("linea").collect()]
+        assert years == [2001] * 149 + [2150] * 150
+        assert groups == [1] * 149 + [2] * 150
+    tops = fill_within_group(df, "anio", "top", ["archivo"])
+    assert {r.top for r in tops.collect()} == {2150} and tops.count() == len(data)
+    months = spark.createDataFrame(
+        [(None, date(2020, 1, 15), 1.0), (None, date(2020, 3, 10), 3.0)],
+        "k string, fecha date, x double",
+    )
+    assert rows(densify(months, keys=["k"]), "fecha") == [
+        (None, date(2020, 1, 1), 1.0), (None, date(2020, 2, 1), None), (None, date(2020, 3, 1), 3.0)
+    ]
+
+
+def test_months_off_day_one(spark):
+    df = spark.createDataFrame(
+        [(date(2020, 1, 15), 1.0), (date(2020, 2, 10), 2.0)], "fecha date, x double"
+    )
+    assert [r.fecha for r in month_calendar(df).orderBy("fecha").collect()] == [
+        date(2020, 1, 1), date(2020, 2, 1)
+    ]
+    assert rows(densify(df), "fecha") == [(date(2020, 1, 1), 1.0), (date(2020, 2, 1), 2.0)]
+
+
+def test_clean_simple_drops_empty_rows_alone(spark):
+    texts = ["1.5", "NaN", "Infinity", "5f", "0x1p3", "n.d.", "-2e3", " ", None]
+    raw = spark.createDataFrame([(t,) for t in texts], "x string")
+    cleaned = [r.x for r in clean_simple(raw, {"x": "double"}).collect()]
+    assert sorted(cleaned, key=str) == sorted([1.5, None, None, None, None, None, -2000.0], key=str)
 
 
 def test_update_from_keeps_unmatched_rows(target, source):

@@ -23,6 +23,12 @@ ONE_SCAN = {
     "d5_deflator_left": 1,
     "f3_yoy_calendar": 1,
     "f5_running_count": 1,
+    "f6_group_fill": 1,
+    "j6_report_tidy": 1,
+    "j7_unpivot_rates": 1,
+    "j8_report_upsert": 2,
+    "b3_upsert": 2,
+    "l2_named_kpis": 2,
     "l4_l5_macro_states": 1,
 }
 PUSHED = {

@@ -10,7 +10,10 @@ from lunario.functions.text import MONTHS
 from lunario.plans.reports import (
     dated_lines,
     load_aggregate_csv,
+    load_aggregate_csv_into,
     load_aggregate_staging,
+    load_rate_csv,
+    load_rate_staging,
     merge_aggregates,
     tidy_aggregates,
     tidy_rates,
@@ -145,10 +148,56 @@ def test_rate_report(spark, tmp_path):
 def test_bad_rate_stops_the_load(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text(f"2024;{';' * 17}\nEnero;abc{';' * 17}\n", encoding="iso-8859-1")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="not a rate: abc"):
         tidy_rates(read_rate_report(spark, str(path))).collect()
 
 
+@pytest.mark.parametrize("cell", ["NaN", "Infinity", "5f", "7d", "0x1p3"])
+def test_text_that_only_a_cast_takes_for_a_number(spark, cell):
+    staging = spark.createDataFrame([(1, "2024", None), (2, "Enero", cell)],
+                                    "linea int, fecha string, mn_pasiva_1m string")
+    wide = staging.withColumns(
+        {n: F.lit(None).cast("string") for n in RATE_COLUMNS if n != "mn_pasiva_1m"}
+    )
+    with pytest.raises(Exception, match="not a rate"):
+        tidy_rates(wide, within=(), block=None).collect()
+
+
+def test_rate_load_jobs(spark, tmp_path):
+    path = tmp_path / "rates.csv"
+    path.write_text(f"2024;{';' * 17}\nEnero;1.5{';' * 17}\n", encoding="iso-8859-1")
+    loaded = load_rate_csv(spark, str(path), str(tmp_path / "v1"))
+    assert [(r.fecha, r.moneda, r.tasa_porcentaje) for r in loaded.collect()] == [
+        (date(2024, 1, 1), "MN", 1.5)
+    ]
+    staging = read_rate_report(spark, str(path)).withColumn("source_row_id", F.col("linea"))
+    again = load_rate_staging(spark, staging, str(tmp_path / "v2"))
+    assert again.collect() == loaded.collect()
+
+
+def test_load_leaves_other_periods_files_alone(spark, report, tmp_path):
+    table = tmp_path / "bm"
+    stored = spark.createDataFrame(
+        [(date(2023, 12, 1), *[Decimal(1)] * 7), (date(2024, 2, 1), *[Decimal(2)] * 7)],
+        TABLES["bm"],
+    )
+    replace(stored, str(table), ["fecha"])
+
+    def files(day):
+        return {(p.name, p.stat().st_mtime_ns) for p in (table / f"fecha={day}").iterdir()}
+
+    before, touched = files("2023-12-01"), files("2024-02-01")
+    merged = load_aggregate_csv_into(spark, report, str(table), str(tmp_path / "staged"))
+    assert months_of(merged) == {date(2023, 12, 1): (Decimal(1),) * 3, **EXPECTED}
+    assert files("2023-12-01") == before and files("2024-02-01") != touched
+    with pytest.raises(ValueError, match="DATE"):
+        wrong = tmp_path / "wrong"
+        stored.withColumn("fecha", F.concat(F.lit("m"), "fecha")).write.partitionBy("fecha").parquet(
+            str(wrong)
+        )
+        load_aggregate_csv_into(spark, report, str(wrong), str(tmp_path / "staged2"))
+
+
 def test_month_before_any_year_has_no_date(spark):
     staging = spark.createDataFrame([(1, "Enero"), (2, "2024"), (3, "Enero")], "linea int, l string")
     lines = dated_lines(staging, "l", within=(), block=None)

@@ -56,6 +56,13 @@ def plain(row):
         (lambda t, keys=(): measures.real_rate_status(t, "1995-01-01", keys=keys), "tc ipc cpi_usa"),
         (measures.growth_credit_correlation, "imae credito"),
         (measures.weight_summary, "bm credito"),
+        (views.policy_transmission, "trm tasa_interbancaria"),
+        (measures.external_risk, "bm rin tc"),
+        (measures.money_growth, "bm rin"),
+        (
+            lambda t, keys=(): measures.named_kpis(t, "1995-01-01", keys),
+            "ipc cpi_usa imae tc tasas_interes tasa_interbancaria credito rin bm",
+        ),
     ],
 )
 def test_series_keys_repeat_the_single_series(spark, national, tmp_path, view, needed):
@@ -116,6 +123,23 @@ def test_policy_gap_limit_and_missing_rate(spark):
     assert [r.estado_efectividad for r in rows] == ["Transmisión Efectiva", "Desvío de Política"]
 
 
+def test_policy_rows_are_counted_for_each_key(spark, national):
+    t = {n: copies(national[n], ("x", "y", "z")) for n in ("trm", "tasa_interbancaria")}
+    whole = views.policy_transmission(t, keys=["pais"]).count()
+    assert whole == 3 * views.policy_transmission(national).count()
+    newest = views.policy_transmission(t, rows=10, keys=["pais"])
+    assert {tuple(r) for r in newest.groupBy("pais").count().collect()} == {
+        ("x", 10), ("y", 10), ("z", 10)
+    }
+
+
+def test_money_growth_keeps_months_of_either_table(spark):
+    days = months(2024, 3)
+    bm = column(spark, "m2", days[:2], [1.0, 2.0]).withColumn("base_monetaria", F.col("m2"))
+    grown = measures.money_growth({"bm": bm, "rin": column(spark, "rin", days[1:], [1.0, 2.0])})
+    assert sorted(r.fecha for r in grown.collect()) == days
+
+
 def test_weight_forms_differ_only_by_their_filter(spark):
     days = months(2020, 27)
     m2 = [100.0 + i for i in range(27)]
@@ -172,11 +196,16 @@ def test_override_and_local_reserves(spark):
 
 
 def test_catalogue_answers_sql(spark, national):
-    names = catalog.register(spark, national, "1995-01-01")
-    assert set(catalog.VIEWS) <= set(names)
+    names, lacking = catalog.register(spark, national, "1995-01-01")
+    assert set(catalog.VIEWS) <= set(names) and not lacking
     top = spark.sql(
         "SELECT moneda, spread_CP FROM vw_spread_bancario WHERE fecha = DATE'2000-01-01' ORDER BY 1"
     ).collect()
     assert [r.moneda for r in top] == ["ME", "MN"]
-    only = catalog.register(spark, {"cpi_usa": national["cpi_usa"]})
+    one = {"cpi_usa": national["cpi_usa"]}
+    with pytest.raises(ValueError, match="vw_macroeconomico"):
+        catalog.register(spark, one)
+    only, lacking = catalog.register(spark, one, partial=True)
     assert only == ["cpi_usa", "vw_inflacion_usa"]
+    assert lacking["vw_brecha_deslizamiento"] == ["ipc", "tc"]
+    assert set(lacking) == set(catalog.VIEWS) - set(only)
