@@ -16,13 +16,16 @@ BLANK = r"\x20\x09-\x0D"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and every executor see, as a URI.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in local tests, a
-    fresh local folder is made and remembered in the session.
+    It is the cluster's ``spark.checkpoint.dir``. Only in local mode, as in tests, may that be unset:
+    a fresh local folder is then made and remembered in the session. What is written there stays
+    until whoever owns the folder removes it, as results are read from it lazily.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "lunario.shared.dir", None
     )
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lunario-shared-")
         spark.conf.set("lunario.shared.dir", folder)
     return folder if ":" in folder else f"file://{folder}"

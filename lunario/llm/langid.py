@@ -122,6 +122,8 @@ class Model:
 def fit(samples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     """Train and calibrate on (buckets, their shares, language) of each text."""
     languages = sorted({x[2] for x in samples})
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     number = {x: n for n, x in enumerate(languages)}
     rng = np.random.default_rng(SEED)
     rows = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
@@ -145,11 +147,11 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     logits = np.array([x[1] @ rows[x[0]] @ layer + bias for x in held]).reshape(-1, len(languages))
     truth = np.array([number[x[2]] for x in held], dtype=np.int64)
     best = (np.inf, 1.0)
-    for t in np.geomspace(0.05, 50, 200) if len(held) else []:
+    for t in np.geomspace(0.05, 50, 200):
         p = softmax(logits / t)[np.arange(len(held)), truth]
         best = min(best, (-np.log(np.maximum(p, 1e-12)).mean(), t))
     scores = softmax(logits / best[1])
-    right = scores.max(axis=1)[scores.argmax(axis=1) == truth] if len(held) else np.zeros(0)
+    right = scores.max(axis=1)[scores.argmax(axis=1) == truth]
     threshold = min(HIGHEST, float(np.quantile(right, REJECTED))) if len(right) else 0.0
     return Model(languages, rows @ layer, bias, best[1], threshold)
 

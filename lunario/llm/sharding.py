@@ -54,12 +54,12 @@ def interleaved(
         "_fraction", (2 * F.col("_before") + 1) / (2 * F.col("_count"))
     )
     ordered = running_sum(ranked, ["_fraction", "_source", *tie], "_one", "_position")
-    total = rows.count()
+    total = max(rows.count(), 1)
     # whole numbers only: position * shards stays below 2^63 for any table Spark can hold
-    exact = F.expr(f"(_position * {shards}L) div {max(total, 1)}L").alias("shard")
-    first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
+    shard = F.expr(f"(_position * {shards}L) div {total}L").alias("shard")
+    first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return (
-        ordered.select("_doc", "size", "text_crc32", "_position", exact)
+        ordered.select("_doc", "size", "text_crc32", "_position", shard)
         .withColumn("slot", F.col("_position") - first)
         .withColumn("shard", F.col("shard").cast("int"))
         .drop("_position")
