@@ -28,6 +28,7 @@ QUERIES = {
     "op10_packing": packing.query,
 }
 ORACLES = {
+    "op3_sharding": sharding.SQL,
     "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,

@@ -66,6 +66,29 @@ def interleaved(
     )
 
 
+def write_shards(
+    docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, key: str = "doc_id",
+    text: str = "text", source: str = "source",
+) -> None:
+    """Write the rows of ``docs`` as Parquet folders ``shard=n``, each in the order of its slots.
+
+    The texts are shuffled once, by (shard, slot).
+    """
+    rows = written(numbered(docs.select(F.struct("*").alias("_all")), "_id"), "documents")
+    slim = rows.select("_id", *[F.col("_all")[c].alias(c) for c in (key, text, source)])
+    places = interleaved(slim, shards, seed, key, text, source).select(
+        F.col("_doc")["_id"].alias("_id"), "shard", "slot"
+    )
+    (
+        rows.join(places, "_id")
+        .repartitionByRange("shard", "slot")
+        .sortWithinPartitions("shard", "slot")
+        .select("shard", "slot", F.col("_all").alias("row"))
+        .write.partitionBy("shard")
+        .parquet(path)
+    )
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return interleaved(docs).select(
@@ -78,3 +101,29 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("_doc")["source"].alias("source"),
     )
+
+
+#: CRC-32 is worked out bit by bit, as DuckDB has no function for it.
+SQL = f"""
+WITH h AS (
+  SELECT *, hex(encode(coalesce(text, ''))) AS x, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '-')) AS k
+  FROM documents
+), d AS (
+  SELECT doc_id, source, k, (length(x) // 2 + 8)::BIGINT AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
+               lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+             lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS text_crc32
+  FROM h
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, size, text_crc32, doc_id) - 1 AS before,
+         count(*) OVER (PARTITION BY source) AS n FROM d
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * before + 1) / (2 * n), source NULLS LAST, k, size,
+                               text_crc32, doc_id) - 1 AS position, count(*) OVER () AS total FROM r
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (position * {SHARDS} // total)::INT AS shard,
+       (position - ((position * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
+       NULL::INT AS grown_shard, source
+FROM o
+"""

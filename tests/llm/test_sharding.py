@@ -58,6 +58,16 @@ def test_odd_tables(spark):
     assert Counter(r[4] for r in found) == {0: 17, 1: 17, 2: 17}
 
 
+def test_written_shards_hold_the_rows_in_slot_order(spark, tmp_path):
+    rows = [(n, f"text {n}", "ab"[n % 2]) for n in range(100)]
+    df = frame(spark, rows).withColumn("slot", F.lit("own"))
+    sharding.write_shards(df, str(tmp_path / "shards"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted(tuple(r["row"])[:3] for r in back) == rows
+    places = {r[0]: r[4:] for r in dealt(df, shards=4)}
+    assert all((r.shard, r.slot) == places[r["row"].doc_id] for r in back)
+
+
 def test_no_python_in_the_plan(spark):
     plan = sharding.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
