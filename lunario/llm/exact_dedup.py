@@ -40,25 +40,28 @@ def _names(distinct: DataFrame, order: list[str], level: int) -> DataFrame:
     return running_sum(distinct.withColumn("_one", F.lit(1)), order, "_one", "name").drop("_one")
 
 
+def block_hash(block: Column) -> Column:
+    """Sort prefix of a block; only speed depends on how rarely it repeats."""
+    return F.xxhash64(block)
+
+
 def _block_names(texts: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     """Names of the distinct blocks: by hash where it is unambiguous, else by hash and block."""
     block = texts.select(F.explode(blocks(F.col("_text"), chars)).alias("_block"))
-    # the hash is the shuffle key, the block itself decides equality
-    distinct = written(
-        block.select(F.xxhash64("_block").alias("_hash"), "_block")
-        .groupBy("_hash", "_block")
-        .agg(F.count(F.lit(1)).alias("_uses")),
-        "blocks",
-    )
-    shared = (
-        distinct.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
+    # the hash is part of the key for the sake of the next step; the block itself decides equality
+    distinct = block.groupBy(block_hash(F.col("_block")).alias("_hash"), "_block").agg(
+        F.count(F.lit(1)).alias("_uses")
     )
-    tied = written(distinct.join(shared, "_hash", "left_semi").select("_hash", "_block"), "tied")
+    hashes = written(distinct.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")), "hashes")
+    shared = hashes.filter("_n > 1").select("_hash")
+    if shared.isEmpty():
+        tied = texts.sparkSession.range(0).selectExpr("id AS _hash", "string(id) AS _block")
+    else:
+        tied = written(distinct.join(shared, "_hash", "left_semi").select("_hash", "_block"), "tied")
     # a tie is numbered inside its hash; blocks of one hash are as few as 64-bit collisions
     tie = Window.partitionBy("_hash").orderBy("_block")
     ties = tied.withColumn("_tie", F.row_number().over(tie).cast("long"))
-    plain = distinct.select("_hash").join(shared, "_hash", "left_anti")
-    keys = plain.select("_hash", F.lit(0).cast("long").alias("_tie")).unionByName(
+    keys = hashes.filter("_n = 1").select("_hash", F.lit(0).cast("long").alias("_tie")).unionByName(
         ties.select("_hash", "_tie")
     )
     named = written(_names(keys, ["_hash", "_tie"], 0), "names-0")
@@ -90,7 +93,7 @@ def identities(docs: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) ->
                 "_doc",
                 "_points",
                 F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"),
-                F.transform(cut, lambda b: F.xxhash64(b)).alias("_hashes"),
+                F.transform(cut, block_hash).alias("_hashes"),
                 *([cut.alias("_blocks")] if ambiguous else []),
             )
         ),
@@ -101,7 +104,7 @@ def identities(docs: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) ->
     if ambiguous:
         # blocks whose hash belongs to several blocks are looked up by hash and text
         exact = rows.select("_row", F.posexplode("_blocks").alias("_at", "_block")).withColumn(
-            "_hash", F.xxhash64("_block")
+            "_hash", block_hash(F.col("_block"))
         )
         named = named.unionByName(
             exact.join(by_block, ["_hash", "_block"]).select("_row", "_at", "name")
