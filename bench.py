@@ -68,13 +68,15 @@ def main() -> None:
     spark = build_session("bench", cpus=CPUS)
     chosen = os.environ.get("BENCH_QUERIES", "").split()
     runs = {name: (lambda n=name: QUERIES[n](spark, SF_DIR)) for name in chosen or HEADLINE}
-    seconds = {}
+    seconds, spread = {}, {}
     if not chosen:
         scratch = os.environ.get("BENCH_SCRATCH") or spark.conf.get("spark.sql.warehouse.dir")
         runs |= report_loads(spark, f"{scratch.rstrip('/')}/bench-{uuid.uuid4().hex}")
     for name, df in runs.items():
         timed(df)
-        seconds[name] = round(statistics.median(timed(df) for _ in range(REPEATS)), 3)
+        runs_of_it = [timed(df) for _ in range(REPEATS)]
+        seconds[name] = round(statistics.median(runs_of_it), 3)
+        spread[name] = round(max(runs_of_it) - min(runs_of_it), 3)
     spark.stop()
     print(
         json.dumps(
@@ -83,6 +85,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "spread": spread,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "cpus": CPUS,
             }

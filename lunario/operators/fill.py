@@ -120,11 +120,11 @@ def fill_within_group(
     """Add ``into``: the greatest ``column`` of each group, on every row of the group.
 
     NULL is a group of its own. The maximum is taken by a map-side aggregate and joined back. Rows
-    are dealt to ``spread`` sub-keys, and each group's maximum to all of them, so a group holding a
-    large share of the rows is joined by as many tasks.
+    are dealt to ``spread`` sub-keys by their content, and each group's maximum to all of them, so a
+    group holding a large share of the rows is joined by as many tasks.
     """
     ids = _ids(df, group)
-    salt = F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(spread))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
     rows = df.withColumns({**ids, "_salt": salt.cast("int")})
     top = (
         df.withColumns(ids)
