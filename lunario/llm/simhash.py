@@ -231,29 +231,37 @@ def walk(
 
 
 def links(prints: DataFrame, rows: int = PAIR_ROWS, budget: int = BUDGET) -> DataFrame:
-    """Pairs ``u``, ``v`` of distinct fingerprints (column ``_print``) that connect all that link."""
+    """Pairs ``u``, ``v`` of distinct fingerprints (column ``_print``) that connect all that link.
+
+    A node travels as one array of its fingerprints, ``rows`` at most, to every pair it is part of.
+    """
     sent = None
     for depth, pairs in node_pairs(prints, rows, budget):
+        if pairs.isEmpty():
+            continue
         named = pairs.withColumn("depth", F.lit(depth)).withColumn(
             "pair", F.concat_ws("-", F.lit(depth), "a", "b")
         )
-        node = prints.withColumn("node", _prefix(F.col("_print"), depth))
-        for side, wanted in (("a", named), ("b", named.filter("a != b"))):
-            part = node.join(wanted, F.col("node") == F.col(side)).select(
-                "pair", "depth", "errors", F.lit(side).alias("side"), "_print"
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = written(
+            prints.withColumn("node", _prefix(F.col("_print"), depth))
+            .join(wanted, "node", "left_semi")
+            .groupBy("node")
+            .agg(F.collect_list("_print").alias("prints")),
+            f"trie-nodes-{depth}",
+        )
+        for side, part in (("a", named), ("b", named.filter("a != b"))):
+            own = part.withColumnRenamed(side, "node").join(nodes, "node").select(
+                "pair", "depth", "errors", F.lit(side).alias("side"), "prints"
             )
-            sent = part if sent is None else sent.unionByName(part)
+            sent = own if sent is None else sent.unionByName(own)
+    if sent is None:
+        return prints.limit(0).select(F.col("_print").alias("u"), F.col("_print").alias("v"))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(group["_print"].to_numpy().view(np.uint64))
-        at = group["side"].to_numpy() == "b"
-        second = None
-        if at.any():
-            values, second = (
-                np.sort(group["_print"].to_numpy()[m].view(np.uint64)) for m in (~at, at)
-            )
+        sides = {s: np.sort(x.view(np.uint64)) for s, x in zip(group["side"], group["prints"], strict=True)}
         depth, errors = int(group["depth"].iloc[0]), int(group["errors"].iloc[0])
-        u, v = walk(values, second, depth, errors, budget)
+        u, v = walk(sides["a"], sides.get("b"), depth, errors, budget)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return sent.groupBy("pair").applyInPandas(join, "u long, v long")
