@@ -31,8 +31,9 @@ K, QUERY_EVERY = 20, 20
 TABLES, WIDTH, PROBE_BASE = 4, 1.6, 2.3
 #: Hash functions of a table: the binary logarithm of the vectors less LOG_BASE, at most FUNCTIONS.
 LOG_BASE, FUNCTIONS = 11, 8
-#: Vectors of a chunk of a bucket, and index rows of a shard, on average.
-CHUNK, SHARD_ROWS = 4096, 8192
+#: Vectors of a chunk of a bucket, and bytes of the vectors of a shard, on average. Every shard that a
+#: query visits returns its best few, so shards are as large as a task can hold with ease.
+CHUNK, SHARD_BYTES = 4096, 24 << 20
 SEED = 7
 
 
@@ -181,7 +182,7 @@ def _round(vectors: DataFrame, queries: DataFrame, hashing: Hashing, k: int, tot
         .select("table", "code", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")),
         "hash-buckets",
     )
-    shards = max(1, total * hashing.tables // SHARD_ROWS)
+    shards = max(1, total * hashing.tables * hashing.planes.shape[2] * 8 // SHARD_BYTES)
     shard = F.pmod(F.xxhash64("table", "code", "chunk"), F.lit(shards)).alias("shard")
     placed = (
         index.join(buckets, ["table", "code"])
