@@ -237,9 +237,16 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their own columns."""
-    whole = docs.select(F.struct("*").alias("_all"), F.col(text).alias("_body"))
-    found = identified(whole, model, "_body").filter("NOT rejected")
-    return found.select("_doc._all.*")
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(begin, DOCS_AT_ONCE)
+                rejected = shared.value.predict(part.column(at).to_pylist())[2]
+                yield part.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def held_out(key: str = "doc_id"):
