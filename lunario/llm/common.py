@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,17 @@ def shuffle_key(seed: int, *columns: str) -> Column:
 def numbered(df: DataFrame, into: str = "_row") -> DataFrame:
     """Add a row number that is unique, and fixed once the result is written."""
     return df.withColumn(into, F.monotonically_increasing_id())
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """``_all`` (all columns as a struct) and ``_id``, which names a row for good.
+
+    Rows of Parquet files are named by file and position, so the table may be read again and again;
+    any other table is numbered and written once.
+    """
+    whole = F.struct("*").alias("_all")
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_id")
+    try:
+        return df.select(place, whole)
+    except AnalysisException:  # not read from Parquet
+        return written(numbered(df.select(whole), "_id"), "documents")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lunario.llm.common import BLANK, numbered, running_sum, written
+from lunario.llm.common import BLANK, addressed, numbered, running_sum, written
 
 #: Characters of a block. Most documents are one or two blocks; a longer block would make the rows
 #: of the first naming too large, a shorter one adds levels.
@@ -35,7 +35,7 @@ def blocks(text: Column, chars: int) -> Column:
     return F.transform(starts, lambda start: F.substring(text, start, F.lit(chars)))
 
 
-def _names(distinct: DataFrame, order: list[str], level: int) -> DataFrame:
+def _names(distinct: DataFrame, order: list[str]) -> DataFrame:
     """Distinct rows with ``name``: their rank in ``order``."""
     return running_sum(distinct.withColumn("_one", F.lit(1)), order, "_one", "name").drop("_one")
 
@@ -64,7 +64,7 @@ def _block_names(texts: DataFrame, chars: int) -> tuple[DataFrame, DataFrame]:
     keys = hashes.filter("_n = 1").select("_hash", F.lit(0).cast("long").alias("_tie")).unionByName(
         ties.select("_hash", "_tie")
     )
-    named = written(_names(keys, ["_hash", "_tie"], 0), "names-0")
+    named = written(_names(keys, ["_hash", "_tie"]), "names-0")
     return (
         named.filter("_tie = 0").select("_hash", "name"),
         named.filter("_tie > 0").join(ties, ["_hash", "_tie"]).select("_hash", "_block", "name"),
@@ -134,7 +134,7 @@ def identities(docs: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) ->
             break
         level += 1
         known = written(
-            _names(pairs.select("_left", "_right").distinct(), ["_left", "_right"], level),
+            _names(pairs.select("_left", "_right").distinct(), ["_left", "_right"]),
             f"names-{level}",
         )
         named = written(
@@ -182,9 +182,7 @@ def exact_duplicates(
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; see ``exact_duplicates``."""
-    rows = written(
-        numbered(docs.select(F.struct("*").alias("_all")), "_id"), "documents"
-    )
+    rows = addressed(docs)
     slim = rows.select("_id", F.col("_all")[key].alias(key), F.col("_all")[text].alias(text))
     kept = exact_duplicates(slim, key, text).filter("kept").select(F.col("_doc")["_id"].alias("_id"))
     return rows.join(kept, "_id", "left_semi").select("_all.*")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lunario.llm.common import BLANK, numbered, running_sum, shuffle_key, written
+from lunario.llm.common import BLANK, addressed, numbered, running_sum, shuffle_key, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -168,7 +168,7 @@ def mixture(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings
 ) -> DataFrame:
     """The documents of the mix in training order, repeats included, with their own columns."""
-    rows = written(numbered(docs.select(F.struct("*").alias("_all")), "_id"), "documents")
+    rows = addressed(docs)
     slim = rows.select("_id", *[F.col("_all")[c].alias(c) for c in (key, text, source)])
     taken = mixed(slim, key=key, text=text, source=source, **settings).filter("copies > 0")
     when = taken.select(F.col("_doc")["_id"].alias("_id"), F.explode("times").alias("_time"))

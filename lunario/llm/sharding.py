@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lunario.llm.common import numbered, running_sum, shuffle_key, written
+from lunario.llm.common import addressed, numbered, running_sum, shuffle_key, written
 
 SHARDS = 24
 SEED = 20
@@ -74,7 +74,7 @@ def write_shards(
 
     The texts are shuffled once, by (shard, slot).
     """
-    rows = written(numbered(docs.select(F.struct("*").alias("_all")), "_id"), "documents")
+    rows = addressed(docs)
     slim = rows.select("_id", *[F.col("_all")[c].alias(c) for c in (key, text, source)])
     places = interleaved(slim, shards, seed, key, text, source).select(
         F.col("_doc")["_id"].alias("_id"), "shard", "slot"

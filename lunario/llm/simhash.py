@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lunario.llm.common import numbered, written
+from lunario.llm.common import addressed, written
 
 SHINGLE_WORDS, HASH_SEED, BUDGET = 3, 42, 2
 #: Fingerprints of a node pair that one task takes, and bits by which larger pairs are split.
@@ -342,7 +342,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     The row with the smallest key stays, the first of them if rows repeat it; NULL keys come last.
     """
-    rows = written(numbered(docs.select(F.struct("*").alias("_all")), "_id"), "documents")
+    rows = addressed(docs)
     slim = rows.select("_id", F.col("_all")[key].alias(key), F.col("_all")[text].alias(text))
     found = near_duplicates(slim, key, text)
     k = F.col("_doc")[key]
