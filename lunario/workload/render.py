@@ -63,7 +63,7 @@ def _report(
         wide.withColumns(
             {
                 "_opens": F.min("fecha").over(of_year) == F.col("fecha"),
-                **{f"_mean_{name}": F.avg(name).over(of_year) for name in names},
+                **{f"_mean_{name}": F.avg(F.col(name).cast("double")).over(of_year) for name in names},
             }
         )
         .withColumn(
