@@ -276,10 +276,11 @@ class TokenFiles:
             .applyInPandas(look_up, "_key long, _nth int, shard_no int, at long, n long")
         )
 
-    def read(self, keys: DataFrame) -> DataFrame:
+    def read(self, keys: DataFrame, with_ids: bool = True) -> DataFrame:
         """Ids of the given keys: ``_key``, ``_nth``, ``start``, ``n_tokens``, ``ids`` and ``ids_crc32``.
 
-        ``start`` counts the ids of all documents before. Requests are sorted by place, so each task
+        ``ids`` are little-endian 32-bit, left out unless ``with_ids``. ``start`` counts the ids of
+        all documents before. Requests are sorted by place, so each task
         reads its shards from front to back.
         """
         folder, width = self.folder, self.width
@@ -298,16 +299,17 @@ class TokenFiles:
                     if width == 2:
                         data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
                     raw.append(data)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        batch.column(5),
-                        batch.column(4),
-                        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
-                    ],
-                    ["_key", "_nth", "start", "n_tokens", "ids_crc32"],
-                )
+                columns = {
+                    "_key": batch.column(0),
+                    "_nth": batch.column(1),
+                    "start": batch.column(5),
+                    "n_tokens": batch.column(4),
+                    **({"ids": pa.array(raw, pa.binary())} if with_ids else {}),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+        ids = "ids binary, " if with_ids else ""
 
         placed = (
             self.locate(keys)
@@ -318,7 +320,7 @@ class TokenFiles:
             placed.repartitionByRange("shard", "at")
             .sortWithinPartitions("shard", "at")
             .mapInArrow(
-                fetch, "_key long, _nth int, start long, n_tokens long, ids_crc32 long"
+                fetch, f"_key long, _nth int, start long, n_tokens long, {ids}ids_crc32 long"
             )
         )
 
@@ -326,6 +328,6 @@ class TokenFiles:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     files = TokenFiles.write(docs)
-    return files.read(files.entries).select(
+    return files.read(files.entries, with_ids=False).select(
         F.col("_key").alias("doc_id"), "start", "n_tokens", "ids_crc32"
     )

@@ -63,6 +63,15 @@ def test_files_hold_all_ids_in_key_order(spark):
     assert len(found) == len(rows)
 
 
+def test_read_gives_the_ids_of_the_keys(spark):
+    rows = [(n, TEXTS[n % len(TEXTS)]) for n in range(40)]
+    files = token_files.TokenFiles.write(frame(spark, rows).repartition(3))
+    keys = spark.createDataFrame([(k, 0) for k in (3, 9, 20, 500)], "_key long, _nth int")
+    found = {r["_key"]: bytes(r.ids) for r in files.read(keys).collect()}
+    assert found == {k: plain(rows[k][1], 1) for k in (3, 9, 20)}
+    assert "ids" not in files.read(keys, with_ids=False).columns
+
+
 def test_repeated_and_missing_keys(spark):
     rows = [(None, "a"), (None, "b c"), *[(3, "same")] * 40, (4, None)]
     df = frame(spark, rows).withColumn("shard", F.lit("mine"))
