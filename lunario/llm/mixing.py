@@ -164,6 +164,15 @@ def mixed(
     )
 
 
+def training_order(mix: DataFrame) -> DataFrame:
+    """Place of every copy in the training order of ``mix``, a result of ``mixed``.
+
+    Columns: ``_row``, ``_copy`` (from 0), ``_time`` and ``position``, which counts the copies before.
+    """
+    copies = mix.select("_row", F.posexplode("times").alias("_copy", "_time"), F.lit(1).alias("_one"))
+    return running_sum(copies, ["_time", "_row", "_copy"], "_one", "position").drop("_one")
+
+
 def mixture(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings
 ) -> DataFrame:
@@ -182,8 +191,18 @@ def mixture(
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mixed(docs).select(
-        F.col("_doc")["doc_id"].alias("doc_id"), "size", "source_size", "target", "taken", "copies"
+    mix = written(mixed(docs), "mix")
+    # the counts are those of the training order, so the order is made, not only its totals
+    order = written(training_order(mix), "training-order")
+    dealt = order.groupBy("_row").agg(F.count("position").cast("int").alias("_dealt"))
+    copies = F.coalesce("_dealt", F.lit(0))
+    return mix.join(dealt, "_row", "left").select(
+        F.col("_doc")["doc_id"].alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (copies * F.col("size")).alias("taken"),
+        copies.alias("copies"),
     )
 
 

@@ -86,6 +86,23 @@ def test_mixture_is_in_training_order(spark):
     assert order[0] in {d for t, d in flat if t == flat[0][0]}
 
 
+def test_query_makes_the_training_order(spark, monkeypatch):
+    tables, write = {}, mixing.written
+
+    def keep(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(mixing, "written", keep)
+    result = mixing.query(spark, "/root/testdata/sf0.001").collect()
+    times = {r["_row"]: r.times for r in tables["mix"].collect()}
+    expected = sorted((t, row, n) for row, ts in times.items() for n, t in enumerate(ts))
+    found = tables["training-order"].orderBy("position").collect()
+    assert [(r["_time"], r["_row"], r["_copy"]) for r in found] == expected
+    assert [r.position for r in found] == list(range(len(found)))
+    assert sum(r.copies for r in result) == len(found) and len(result) == len(times)
+
+
 def test_odd_tables(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
     assert mixing.mixture(frame(spark, [])).count() == 0
