@@ -29,7 +29,8 @@ from lunario.llm.common import written
 K, QUERY_EVERY = 20, 20
 #: Tables, slot width as a share of the vectors' length, probes of a table as a power.
 TABLES, WIDTH, PROBE_BASE = 4, 1.6, 2.3
-#: Hash functions of a table: the binary logarithm of the vectors less LOG_BASE, at most FUNCTIONS.
+#: Hash functions of a table: the binary logarithm of the vectors less LOG_BASE, one at least and at
+#: most FUNCTIONS.
 LOG_BASE, FUNCTIONS = 11, 8
 #: Vectors of a chunk of a bucket, and bytes of the vectors of a shard, on average. Every shard that a
 #: query visits returns its best few, so shards are as large as a task can hold with ease.
@@ -269,7 +270,7 @@ def nearest(
     )
     total = apart.count()
     if functions is None:
-        functions = min(FUNCTIONS, max(0, round(np.log2(total)) - LOG_BASE))
+        functions = min(FUNCTIONS, max(1, round(np.log2(max(1, total))) - LOG_BASE))
     asking = slim.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
     # equal queries are searched once, under the smallest of their keys
     firsts = written(

@@ -82,6 +82,26 @@ def test_recall_of_hashed_search(spark, functions):
         assert all(scores.get(i, s) == pytest.approx(s, abs=1e-12) for i, s in x)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_tables_are_hashed(spark, monkeypatch, size):
+    """The first round hashes at every size and finds the true neighbours."""
+    made, hashing = [], neighbours.Hashing
+
+    def make(dim, length, functions):
+        made.append(functions)
+        return hashing(dim, length, functions)
+
+    monkeypatch.setattr(neighbours, "Hashing", make)
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding")
+    result = found(df, neighbours.K, neighbours.QUERY_EVERY)
+    assert made[0] >= 1
+    truth = brute([tuple(r) for r in df.collect()], neighbours.K, neighbours.QUERY_EVERY)
+    assert set(result) == set(truth)
+    recall = np.mean([len({i for i, _ in truth[q]} & {i for i, _ in result[q]}) / len(truth[q]) for q in truth])
+    print(f"\nrecall at {size}: {recall:.4f}, functions by round {made}")
+    assert recall >= 0.9
+
+
 def test_short_queries_are_searched_again(spark):
     """Buckets of many functions hold too few; the blocks give all that there are, exactly."""
     rows = random_rows(200, 3, 16)
