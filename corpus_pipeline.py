@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lunario.llm import exact_dedup, langid, mixing, near_copies, packing
+from lunario.llm import exact_dedup, langid, mixing, packing, simhash
 from lunario.llm.common import written
 
 
@@ -24,8 +24,8 @@ def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unlike_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return near_copies.one_of_each(docs)
+    """One document of each group whose fingerprints chain together (three-word shingles, two bits)."""
+    return simhash.one_of_each(docs)
 
 
 def to_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", to_sequences),
 ]
 
-#: Language scores, near copies and packing have no SQL form; tests use brute force.
+#: Language scores, fingerprints and packing have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
