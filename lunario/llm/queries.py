@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from lunario.llm import (
+    conversations,
     exact_dedup,
     langid,
     licences,
     mixing,
     neighbours,
     packing,
+    runs,
     sharding,
     simhash,
     token_files,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_packing": packing.query,
+    "op12_runs": runs.query,
+    "op13_conversations": conversations.query,
 }
 ORACLES = {
     "op3_sharding": sharding.SQL,
