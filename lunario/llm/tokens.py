@@ -8,16 +8,19 @@ the library many at a time. The memory of words is bounded; when full it starts
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words remembered by a worker process, about 200 bytes each.
-MEMORY_WORDS = 1_000_000
+#: Words, and their cores without trailing signs, remembered by a worker process, about 150 bytes each.
+MEMORY_WORDS = 500_000
 #: Words given to the library at once.
 AT_ONCE = 4096
-_TAIL = b".,;:!?|"
+#: Signs after a word: one pre-token, however many follow each other.
+_TAIL = string.punctuation.encode()
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -35,6 +38,13 @@ def encoder(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
+def _all_letters(low: bytes) -> bool:
+    """Whether lower-cased UTF-8 text is letters only and stays so in the tokenizer's normal form."""
+    if low.isascii():
+        return low.isalpha()
+    return unicodedata.normalize("NFC", low.decode()).lower().isalpha()
+
+
 class WordEncoder:
     """Encodes UTF-8 texts to little-endian 32-bit ids, as bytes."""
 
@@ -51,17 +61,19 @@ class WordEncoder:
             for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
                 self.ends[number] = token.endswith(suffix)
         self.suffix = bool(suffix)
-        self.memory, self.known, self.cores = memory, {}, {}
+        self.memory, self.known, self.cores, self.tails = memory, {}, {}, {}
 
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [x.ids for x in found]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        found = self._ids([x.decode() for x in words])
+        return [np.array(ids, dtype="<u4").tobytes() for ids in found]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
         """Words of letters alone: one pre-token each, told apart by the end-of-word suffix."""
-        ids = np.array(
-            self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4"
-        )
+        ids = np.array(self._ids([b" ".join(words).decode()])[0], dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words) or (len(cuts) and cuts[-1] != len(ids)):
             return self._one_by_one(words)
@@ -69,40 +81,50 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        """Remember new words: letters with a trailing mark are the letters, then the mark."""
-        split, other = [], []
+        """Remember new words: letters with trailing signs are the letters, then the signs.
+
+        That holds only where the tokenizer's normal form of the letters (composed, lower case) is
+        letters too; some letters become a letter and a mark, which the sign would join.
+        """
+        known, cores, tails = self.known, self.cores, self.tails
+        waiting, lows, fresh, other = [], [], {}, []
         for word in words:
-            core = word.rstrip(_TAIL)
-            low = core.lower()
-            if self.suffix and core and low.decode().isalpha():
-                split.append((word, low, word[len(core) :]))
-            else:
-                other.append(word)
-        cores = self.cores
-        fresh = list({low for _, low, _ in split if low not in cores})
-        tails = list({tail for _, _, tail in split if tail and tail not in cores})
-        for at in range(0, len(fresh), AT_ONCE):
-            part = fresh[at : at + AT_ONCE]
-            cores.update(zip(part, self._letters([x.decode() for x in part]), strict=True))
-        cores.update(zip(tails, self._one_by_one([x.decode() for x in tails]), strict=True))
-        for word, low, tail in split:
-            self.known[word] = cores[low] + cores[tail] if tail else cores[low]
-        if other:
-            found = self._one_by_one([x.decode() for x in other])
-            self.known.update(zip(other, found, strict=True))
+            low = word.rstrip(_TAIL).lower()
+            ids = cores.get(low)
+            if ids is None:
+                if low not in fresh:
+                    if not (self.suffix and _all_letters(low)):
+                        other.append(word)
+                        continue
+                    fresh[low] = None
+            elif len(low) == len(word):
+                known[word] = ids
+                continue
+            waiting.append(word)
+            lows.append(low)
+        new = list(fresh)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            cores.update(zip(part, self._letters(part), strict=True))
+        ends = [word[len(low) :] for word, low in zip(waiting, lows, strict=True)]
+        signs = list(set(ends).difference(tails))
+        tails.update(zip(signs, self._one_by_one(signs), strict=True))
+        for word, low, end in zip(waiting, lows, ends, strict=True):
+            known[word] = cores[low] + tails[end]
+        known.update(zip(other, self._one_by_one(other), strict=True))
 
     def encode(self, texts: Iterable[bytes | None], end: int | None = None) -> list[bytes]:
         """Ids of each text, followed by ``end`` if given; None is an empty text."""
-        if len(self.known) + len(self.cores) > self.memory:
-            self.known, self.cores = {}, {}
-        words = [(text or b"").split() for text in texts]
-        known = self.known
-        pieces = [list(map(known.get, x)) for x in words]
-        short = [n for n, x in enumerate(pieces) if None in x]
-        if short:
-            new = {w for n in short for w, p in zip(words[n], pieces[n], strict=True) if p is None}
+        if len(self.known) > self.memory:
+            self.known = {}
+        if len(self.cores) + len(self.tails) > self.memory:
+            self.cores, self.tails = {}, {}
+        words = [text.split() if text else [] for text in texts]
+        met = set()
+        for part in words:
+            met.update(part)
+        if new := met.difference(self.known):
             self._learn(new)
-            for n in short:
-                pieces[n] = list(map(known.__getitem__, words[n]))
         last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
-        return [b"".join(x) + last for x in pieces]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, part)) + last for part in words]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -19,6 +21,7 @@ ENCODER = WordEncoder(PATH)
 TEXTS = [
     None, "", " \n", "a", "The CAT's hat, isn't it?!", "naïve café — Ünïcode…", "don't 's 've 12345 3.14",
     "a\x1cb c d e f", "é ́x İstanbul İ ΑΣ ΟΔΟΣ.", "汉字 漢字, かな。", "😀 ok 👍🏽.",
+    "a''s b's' c### d$$$. e'' f'. g<|endoftext|>. <| h|> i'' 's' 're_ j__ k-l- m&amp;",
     "<|endoftext|> x <|startoftext|>", "word.word, ...!!! a.b.c ;;|", "ab " * 5000, "x" * 3000,
 ]
 
@@ -43,6 +46,27 @@ def test_any_text(texts):
     assert small.encode([t.encode() for t in texts]) == [plain(t) for t in texts]
 
 
+def test_every_letter_before_every_sign():
+    """Letters whose normal form ends in a mark (İ, some of Devanagari, Bengali, Hebrew) included."""
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"]
+    words = [x for c in letters for x in (c, f"a{c}", *(f"{c}{sign}" for sign in ".,;:!?|#&'_<"))]
+    found = WordEncoder(PATH).encode([w.encode() for w in words])
+    expected = PLAIN.encode_batch(words, add_special_tokens=False)
+    wrong = [
+        w for w, mine, theirs in zip(words, found, expected, strict=True)
+        if mine != np.array(theirs.ids, dtype="<u4").tobytes()
+    ]
+    assert not wrong
+
+
+REAL = ["DENİZİ, TARİHİ. İL; KADIKÖY'ÜN,", "আমি বাড়ি হয়, যায়. নিয়ে;", "क़लम, ख़ास. ज़मीन! पढ़ाई,", "שָׁלוֹם, שּׁ. ﬞײַ,"]
+
+
+def test_texts_of_real_languages():
+    texts = [*REAL, *[unicodedata.normalize(f, t) for t in REAL for f in ("NFC", "NFD")]]
+    assert ENCODER.encode([t.encode() for t in texts], 1) == [plain(t, 1) for t in texts]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
