@@ -99,15 +99,30 @@ def numbered(df: DataFrame, into: str = "_row") -> DataFrame:
     return df.withColumn(into, F.monotonically_increasing_id())
 
 
+def _one_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is one table read, at most filtered and projected: no row occurs twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def addressed(df: DataFrame) -> DataFrame:
     """``_all`` (all columns as a struct) and ``_id``, which names a row for good.
 
-    Rows of Parquet files are named by file and position, so the table may be read again and again;
-    any other table is numbered and written once.
+    Rows of one Parquet table, filtered and projected, are named by file and position (``file_path``
+    and ``row_index``), so the table may be read again and again. Any other table (joined, exploded,
+    unioned, not Parquet) is written once, and its rows are named by their place in what was written.
     """
     whole = F.struct("*").alias("_all")
     place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_id")
-    try:
-        return df.select(place, whole)
-    except AnalysisException:  # not read from Parquet
-        return written(numbered(df.select(whole), "_id"), "documents")
+    if _one_scan(df):
+        try:
+            return df.select(place, whole)
+        except AnalysisException as lacking:
+            if lacking.getCondition() not in (
+                "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION",
+                "FIELD_NOT_FOUND",
+            ):
+                raise
+    return written(df.select(whole), "documents").select(place, "_all")

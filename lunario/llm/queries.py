@@ -11,6 +11,7 @@ from lunario.llm import (
     neighbours,
     packing,
     runs,
+    secret_scan,
     sharding,
     simhash,
     token_files,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_packing": packing.query,
+    "op11_secret_scan": secret_scan.query,
     "op12_runs": runs.query,
     "op13_conversations": conversations.query,
 }
@@ -36,4 +38,5 @@ ORACLES = {
     "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_secret_scan": secret_scan.SQL,
 }

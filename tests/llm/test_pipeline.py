@@ -28,7 +28,7 @@ def test_query_against_sql(spark, name):
 
 def test_queries_are_registered():
     names = driver.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLES) <= set(driver.oracle_sql())
 
