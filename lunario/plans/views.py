@@ -155,16 +155,25 @@ def real_financial_growth(t: Tables, keys: Keys = ()) -> DataFrame:
     )
 
 
+def yearly_crawl(t: Tables, keys: Keys = ()) -> DataFrame:
+    """Inflation and exchange rate of the months that have both, with the rate's yearly change."""
+    on = [*keys, "fecha"]
+    both = t["ipc"].select(*on, "inflacion_interanual").join(t["tc"].select(*on, "tc"), on)
+    return period_change(both, {"tc": "deslizamiento_anual"}, keys=keys)
+
+
 def crawl_gap(t: Tables, keys: Keys = ()) -> DataFrame:
     """Inflation less the yearly crawl of the exchange rate, with the anchor state.
 
     The first twelve months have no crawl; the next has no previous crawl, so it is absent too.
     """
+    return gap_of_crawl(yearly_crawl(t, keys), keys)
+
+
+def gap_of_crawl(yearly: DataFrame, keys: Keys = ()) -> DataFrame:
+    """``crawl_gap`` from the yearly crawl."""
     on = [*keys, "fecha"]
-    both = t["ipc"].select(*on, "inflacion_interanual").join(t["tc"].select(*on, "tc"), on)
-    crawl = period_change(both, {"tc": "deslizamiento_anual"}, keys=keys).filter(
-        F.col("deslizamiento_anual").isNotNull()
-    )
+    crawl = yearly.filter(F.col("deslizamiento_anual").isNotNull())
     gap = (
         previous_value(crawl, {"deslizamiento_anual": "deslizamiento_previo"}, lag=1, keys=keys)
         .filter(F.col("deslizamiento_previo").isNotNull())

@@ -983,3 +983,6 @@ oracle(
     "exposicion cobertura",
     "valor",
 )
+
+
+from lunario.workload import stored_oracle as _stored_oracle  # noqa: E402, F401

@@ -798,3 +798,7 @@ def _(spark, d):
 
 view("l16_term_premium", "tasas_interes", "tasa_interbancaria")(measures.term_premium)
 view("l17_external_risk", "bm", "rin", "tc")(measures.external_risk)
+
+
+# Queries over files and stored tables register themselves here.
+from lunario.workload import stored as _stored  # noqa: E402, F401
