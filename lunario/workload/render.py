@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lunario.functions.dates import month_name
+from lunario.functions.text import MONTHS
 from lunario.sources.schemas import AGGREGATES, RATE_COLUMNS
 
 #: Reports from this year on carry footnote marks.
@@ -55,30 +55,19 @@ def _report(
     cells: dict[str, Column],
     names: Sequence[str],
 ) -> DataFrame:
-    """Month lines come from the table; the first month of a year also brings the year's header,
-    mean and note lines, so the table is read once."""
+    """Month lines come from the table; header, mean and note lines from its yearly means, which are
+    combined map side. Both branches read the table through the same exchange."""
     year, month = F.year("fecha"), F.month("fecha")
-    of_year = Window.partitionBy(*keys, year)
-    lines = (
-        wide.withColumns(
-            {
-                "_opens": F.min("fecha").over(of_year) == F.col("fecha"),
-                **{f"_mean_{name}": F.avg(F.col(name).cast("double")).over(of_year) for name in names},
-            }
-        )
-        .withColumn(
-            "_line",
-            F.explode(
-                F.when(
-                    F.col("_opens"), F.array(month, *[F.lit(n) for n in (_HEADER, _MEAN, _NOTE)])
-                ).otherwise(F.array(month))
-            ),
-        )
-        .withColumns(
-            {n: F.when(F.col("_line") == _MEAN, F.col(f"_mean_{n}")).otherwise(F.col(n)) for n in names}
-        )
+    # generated, like the other lines' numbers, so that no filter on labels goes below the exchange
+    months = wide.select(*keys, year.alias("_year"), F.explode(F.array(month)).alias("_line"), *names)
+    means = wide.groupBy(*keys, year.alias("_year")).agg(
+        *[F.avg(F.col(n).cast("double")).alias(n) for n in names]
     )
-    line, provisional = F.col("_line"), year >= PROVISIONAL_FROM
+    of_year = F.explode(F.array(*[F.lit(n) for n in (_HEADER, _MEAN, _NOTE)])).alias("_line")
+    lines = months.unionByName(means.select(*keys, "_year", of_year, *names))
+    name_of = F.get(F.array(*[F.lit(name) for name in MONTHS]), F.col("_line") - 1)
+    line, year = F.col("_line"), F.col("_year")
+    provisional = year >= PROVISIONAL_FROM
     return lines.select(
         *keys,
         (year * 100 + line).alias("source_row_id"),
@@ -89,9 +78,7 @@ def _report(
         .when(line == _MEAN, "Promedio")
         .when(line == _NOTE, "Fuente: registros propios")
         .otherwise(
-            F.concat(
-                F.initcap(month_name(F.col("fecha"))), F.when(provisional, " 1/").otherwise("")
-            )
+            F.concat(F.initcap(name_of), F.when(provisional, " 1/").otherwise(""))
         )
         .alias(label),
         *[F.when(line.between(1, _MEAN), cell).alias(name) for name, cell in cells.items()],
