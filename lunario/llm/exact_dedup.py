@@ -28,11 +28,9 @@ def normalised(text: Column) -> Column:
 
 
 def blocks(text: Column, chars: int) -> Column:
-    """Array of consecutive blocks; an empty text has one empty block."""
-    starts = F.sequence(
-        F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(chars)
-    )
-    return F.transform(starts, lambda start: F.substring(text, start, F.lit(chars)))
+    """Array of consecutive blocks, cut in one pass over the text; an empty one has an empty block."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(cut)
 
 
 def _names(distinct: DataFrame, order: list[str]) -> DataFrame:
@@ -184,8 +182,10 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """The rows of ``docs`` that stay, with their own columns; see ``exact_duplicates``."""
     rows = addressed(docs)
     slim = rows.select("_id", F.col("_all")[key].alias(key), F.col("_all")[text].alias(text))
-    kept = exact_duplicates(slim, key, text).filter("kept").select(F.col("_doc")["_id"].alias("_id"))
-    return rows.join(kept, "_id", "left_semi").select("_all.*")
+    found = exact_duplicates(slim, key, text)
+    # the rows that go are fewer than those that stay
+    gone = found.filter("NOT kept").select(F.col("_doc")["_id"].alias("_id"))
+    return rows.join(gone, "_id", "left_anti").select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -97,3 +97,37 @@ def test_empty_table_and_very_long_text(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact_dedup.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_one_very_long_text(spark):
+    """Cutting a text into blocks takes time in proportion to it: sixteen million characters pass."""
+    row = spark.range(1).select(
+        F.lit(1).cast("long").alias("doc_id"),
+        F.concat(F.repeat(F.lit("abcdefgh"), 2_000_000), F.lit("é😀")).alias("text"),
+    )
+    same = row.select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit(" "), "text").alias("text"))
+    got = exact_dedup.exact_duplicates(row.unionByName(same)).collect()
+    assert {(r["_doc"]["doc_id"], r.keep_id, r.group_size) for r in got} == {(1, 2, 2), (2, 2, 2)}
+
+
+def test_blocks_are_code_points(spark):
+    texts = ["", "a", "é😀" * 5, "x\n\r\u2028y", "z" * 8]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for chars in (1, 3, 4, 100):
+        cut = rows.select("t", exact_dedup.blocks(F.col("t"), chars).alias("b")).collect()
+        for r in cut:
+            assert r.b == ([r.t[i : i + chars] for i in range(0, len(r.t), chars)] or [""])
+
+
+@pytest.mark.parametrize("make", ["joined", "exploded", "unioned"])
+def test_repeated_rows_of_a_stored_table(spark, tmp_path, make):
+    """Rows that a join, explode or union repeats have the file's row in common; one of them stays."""
+    frame(spark, [(1, "a b"), (2, "c d")]).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    twice = {
+        "joined": lambda: stored.join(spark.createDataFrame([(1,), (2,), (1,), (2,)], "doc_id long"), "doc_id"),
+        "exploded": lambda: stored.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "unioned": lambda: stored.unionByName(stored),
+    }[make]()
+    assert twice.count() == 4
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(twice).collect()) == [1, 2]
