@@ -192,9 +192,13 @@ def mixture(
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     mix = written(mixed(docs), "mix")
-    # the counts are those of the training order, so the order is made, not only its totals
+    # the counts are those of the training order, and a document's places in it are told
     order = written(training_order(mix), "training-order")
-    dealt = order.groupBy("_row").agg(F.count("position").cast("int").alias("_dealt"))
+    dealt = order.groupBy("_row").agg(
+        F.count("position").cast("int").alias("_dealt"),
+        *[F.min(F.when(F.col("_copy") == n, F.col("position"))).alias(f"position_{n + 1}")
+          for n in range(PASSES)],
+    )
     copies = F.coalesce("_dealt", F.lit(0))
     return mix.join(dealt, "_row", "left").select(
         F.col("_doc")["doc_id"].alias("doc_id"),
@@ -203,9 +207,23 @@ def query(spark, sf_dir: str) -> DataFrame:
         "target",
         (copies * F.col("size")).alias("taken"),
         copies.alias("copies"),
+        *[f"position_{n + 1}" for n in range(PASSES)],
     )
 
 
+def _time_sql(kind: int) -> str:
+    """SQL of the time at which the share ``f`` of a schedule's integral is reached."""
+    knots = SCHEDULES[kind]
+    pieces, used = [], 0.0
+    whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+        slope, area = (w1 - w0) / (t1 - t0), (t1 - t0) * (w0 + w1) / 2
+        root = f"sqrt({w0 * w0!r}::DOUBLE + 2 * ({slope!r}::DOUBLE) * (f * {whole!r}::DOUBLE - {used!r}::DOUBLE))"
+        used += area
+        pieces.append(f"WHEN f * {whole!r}::DOUBLE <= {used!r}::DOUBLE THEN {t0!r}::DOUBLE + ({root} - {w0!r}::DOUBLE) / ({slope!r}::DOUBLE)")
+    return f"CASE {' '.join(pieces)} ELSE 1.0::DOUBLE END"
+
+
 SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+')) AS size,
@@ -233,16 +251,27 @@ WITH RECURSIVE d AS (
          / sum(weight) FILTER (NOT full_at) AS level
   FROM w JOIN last USING (i)
 ), t AS (
-  SELECT source, source_size, CASE WHEN full_at THEN cap ELSE weight * level END AS target
+  SELECT source, source_size, i, CASE WHEN full_at THEN cap ELSE weight * level END AS target
   FROM w JOIN last USING (i), lv
 ), c AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size, doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
+), p AS (
+  SELECT c.doc_id, c.size, c.before, t.source_size, t.target, t.i,
+    CASE WHEN size = 0 THEN 0 ELSE (before + size / 2.0 < target)::INT
+      + (source_size + before + size / 2.0 < target)::INT END AS n
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, t.source_size, t.target, n::INT AS copies, (n * size)::BIGINT AS taken
-FROM (SELECT c.*, t.source_size, t.target,
-        CASE WHEN size = 0 THEN 0 ELSE (before + size / 2.0 < target)::INT
-          + (source_size + before + size / 2.0 < target)::INT END AS n
-      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source) x
-JOIN t ON x.source IS NOT DISTINCT FROM t.source
+SELECT p.doc_id, p.size, p.source_size, p.target, p.n::INT AS copies, (p.n * p.size)::BIGINT AS taken,
+  max(place) FILTER (copy = 0) AS position_1, max(place) FILTER (copy = 1) AS position_2
+FROM p LEFT JOIN (
+  SELECT doc_id, copy, row_number() OVER (ORDER BY time, doc_id, copy) - 1 AS place FROM (
+    SELECT doc_id, copy, CASE i % 3 {" ".join(f"WHEN {k} THEN {_time_sql(k)}" for k in range(3))} END AS time
+    FROM (
+      SELECT doc_id, copy, i, least((copy * source_size + before + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) AS f
+      FROM p, (SELECT unnest([0, 1]) AS copy) WHERE copy < n
+    )
+  )
+) o ON p.doc_id = o.doc_id
+GROUP BY ALL
 """

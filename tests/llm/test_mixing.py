@@ -112,3 +112,13 @@ def test_odd_tables(spark):
     assert sum(r.taken for r in repeated) == 120
     with pytest.raises(ValueError):
         mixing.training_time(F.lit(0.5), ((0.0, 1.0),))
+
+
+def test_repeated_rows_of_a_stored_table(spark, tmp_path):
+    """A joined table's repeated rows are mixed one by one, not multiplied by each other."""
+    rows = [(n, "w " * 4, "ab"[n % 2]) for n in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    twice = stored.join(spark.createDataFrame([(n,) for n in range(20)] * 2, "doc_id long"), "doc_id")
+    words = 4 * mixing.mixture(twice).count()
+    assert abs(words - 1.5 * 4 * 40) <= 2 * 4
