@@ -21,15 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSIONS, EPOCHS, RATE, SEED = 16, 8, 0.2, 5
-#: Labelled texts for each language (expected number), and languages, most frequent first.
+#: Labelled texts for each language at most, and languages, most frequent first.
 SAMPLE, LANGUAGES = 400, 256
+#: Different buckets of all sample texts together at most (8 bytes each on the driver), an equal share
+#: for each language; bytes of a model that is sent to all tasks.
+SAMPLE_BUCKETS, MODEL_BYTES = 16 << 20, 128 << 20
 #: Every nth text of the sample calibrates.
 CALIBRATE = 4
 REJECTED, HIGHEST = 0.001, 0.4
@@ -160,19 +163,26 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Model of the labelled rows of ``docs``: rows whose language is not NULL and text has a letter.
 
-    Of every language (the LANGUAGES most frequent) about SAMPLE rows are taken, chosen by a hash of
-    key and text; of a rarer language, all. Without any, the model knows no language.
+    Of every language (the LANGUAGES most frequent) the rows with the smallest hashes of key and text
+    are taken, SAMPLE at most and no more than the language's share of SAMPLE_BUCKETS; rows of equal
+    key and text count once. Without any, the model knows no language.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rates = {r["lang"]: min(1.0, SAMPLE / r["count"]) for r in counts.collect()}
+    order = F.xxhash64("key", "text", F.lit(SEED))
+    counts = labelled.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(order).alias("distinct")
+    ).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # twice the different rows wanted pass this draw, so that enough are left for the exact cut below
+    rates = {r["lang"]: min(1.0, 2 * SAMPLE / r["distinct"]) for r in counts.collect()}
     if not rates:
         return fit([])
     lookup = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
-    draw = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    chosen = labelled.filter(draw < F.coalesce(F.try_element_at(lookup, "lang"), F.lit(0.0)))
+    draw = F.pmod(order, F.lit(1 << 24)) / F.lit(float(1 << 24))
+    drawn = labelled.withColumns({"order": order, "draw": draw}).filter(
+        F.col("draw") < F.coalesce(F.try_element_at(lookup, "lang"), F.lit(0.0))
+    )
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,16 +196,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 [
                     batch.column(1),
                     batch.column(2),
+                    batch.column(3),
                     pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[1] for r in rows], pa.list_(pa.float32())),
                 ],
-                ["lang", "order", "buckets", "shares"],
+                ["lang", "order", "draw", "buckets", "shares"],
             )
 
-    slim = chosen.select("text", "lang", F.xxhash64("key", "text").alias("order"))
-    rows = slim.mapInArrow(
-        take, "lang string, order long, buckets array<int>, shares array<float>"
-    ).toArrow()
+    slim = drawn.dropDuplicates(["lang", "order"]).select("text", "lang", "draw", "order")
+    first = Window.partitionBy("lang").orderBy("draw", "order")
+    fewest = (
+        slim.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE)
+        .select("text", "lang", "order", "draw")
+    )
+    counted = fewest.mapInArrow(
+        take, "lang string, order long, draw double, buckets array<int>, shares array<float>"
+    ).withColumn("_sum", F.sum(F.size("buckets")).over(first))
+    rows = counted.filter(F.col("_sum") <= SAMPLE_BUCKETS // len(rates)).toArrow()
     order = np.argsort(rows.column("order").to_numpy(), kind="stable")
     langs = rows.column("lang").to_pylist()
     at, share = rows.column("buckets"), rows.column("shares")
@@ -207,11 +224,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return fit(samples)
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model for all tasks; its size is bounded by LANGUAGES, and checked."""
+    if model.table.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model has more than {MODEL_BYTES} bytes")
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``_doc`` (the columns of ``docs`` but the text, as a struct), ``lang_pred``, ``score`` and
     ``rejected`` of every row. NULL, empty and letterless texts are UNKNOWN with score 0, rejected."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_doc")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _sent(docs, model)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,8 +260,13 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their own columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    """The rows of ``docs`` that the model does not reject, with their own columns.
+
+    A model that knows no language, as a table without labels gives, cannot choose: all rows stay.
+    """
+    if not model.languages:
+        return docs
+    shared, at = _sent(docs, model), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,3 +91,70 @@ def test_odd_tables(spark):
     stays = langid.accepted(df.unionByName(df), known)
     assert stays.columns == df.columns
     assert [r.doc_id for r in stays.collect()] == [1, 1]
+
+
+def plain_buckets(text):
+    """Buckets of a text's subwords, letter by letter."""
+    letters = []
+    for c in "\n" + (text or "") + "\n":
+        low = c.lower()
+        letters.append((ord(low) if len(low) == 1 else ord(c)) if c.isalpha() else 0)
+    found = []
+    for size in langid.SIZES:
+        for at in range(len(letters) - size + 1):
+            gram = letters[at : at + size]
+            inner = gram[1:-1] if size > 2 else [any(gram)]
+            if not all(inner):
+                continue
+            value = size * 0x85EBCA6B & 0xFFFFFFFF
+            for c in gram:
+                value = (value ^ c) * (0x01000193 + 2 * size) & 0xFFFFFFFF
+            value ^= value >> 15
+            found.append((value * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+    return found
+
+
+def test_query_rows_by_plain_sums(spark):
+    """Every row of the query: mean of its subwords' rows, softmax, best language."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.filter(~langid.held_out()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = langid.query(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        at = plain_buckets(text)
+        logits = (sum(model.table[b] for b in at) / len(at) + model.bias) / model.temperature
+        chance = np.exp(logits - logits.max())
+        chance /= chance.sum()
+        assert r.lang_pred == model.languages[int(chance.argmax())]
+        assert r.score == pytest.approx(chance.max(), abs=1e-6)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Rows of one key, equal rows and long texts neither flood the sample nor empty it."""
+    taken = []
+    monkeypatch.setattr(langid, "fit", lambda samples: taken.append(samples))
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    rows = [(None, f"le chat {n}", "fr") for n in range(400)] + [(7, "the cat", "en")] * 300
+    rows += [(n, f"ein Hund {'x' * n}", "de") for n in range(60)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    langs = [s[2] for s in taken[-1]]
+    assert langs.count("fr") <= 10 and langs.count("en") == 1 and 5 <= langs.count("de") <= 10
+    monkeypatch.setattr(langid, "SAMPLE_BUCKETS", 3 * 30)
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(len(s[0]) for s in taken[-1]) <= 90
+
+
+def test_a_table_without_labels_keeps_all(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.accepted(df, langid.train(df)).count() == 2
+    model = langid.fit([])
+    model.table = np.zeros(langid.MODEL_BYTES // 8 + 1)
+    with pytest.raises(ValueError):
+        langid.identified(df, model)
