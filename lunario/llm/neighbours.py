@@ -7,8 +7,9 @@ own bucket and the perturbed ones (a slot up, down or none in each function) in
 estimated success: the smaller the sum of squared distances to the slots' bounds, the earlier.
 
 Buckets are dealt to shards by their code, a bucket with many vectors in several chunks, and each
-query goes once to every shard that holds one of its probes. A task multiplies the queries of a
-bucket with its vectors, so pairs never become rows; what leaves it is the best few for each query.
+query goes once to every shard that holds one of its probes. A task holds the vectors of a shard while
+its queries stream past, and multiplies those of a bucket with its vectors, so pairs never become rows;
+what leaves it is the best few for each query.
 Candidates of all tables are merged and ranked by their exact inner product. Queries that met too
 few candidates are searched again over all vectors, in blocks.
 """
@@ -19,7 +20,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from lunario.llm.common import written
 
 K, QUERY_EVERY = 20, 20
-#: Tables, slot width as a share of the vectors' length, probes of a table as a power.
-TABLES, WIDTH, PROBE_BASE = 4, 1.6, 2.3
-#: Hash functions of a table: the binary logarithm of the vectors less LOG_BASE, one at least and at
-#: most FUNCTIONS.
-LOG_BASE, FUNCTIONS = 11, 8
+#: Tables, hash functions of a table, slot width as a share of the vectors' length, and probes of a
+#: table (of 3 ** FUNCTIONS steps). The same at every size: chosen so that vectors without any structure,
+#: where neighbours are hardly nearer than others, are still found with a recall above 0.9.
+TABLES, FUNCTIONS, WIDTH, PROBES = 5, 5, 1.4, 100
 #: Vectors of a chunk of a bucket, and bytes of the vectors of a shard, on average. Every shard that a
 #: query visits returns its best few, so shards are as large as a task can hold with ease.
 CHUNK, SHARD_BYTES = 4096, 24 << 20
+#: Queries that a task holds at once.
+QUERIES_AT_ONCE = 512
 SEED = 7
 
 
@@ -49,7 +50,7 @@ class Hashing:
         self.width = WIDTH * length
         self.offset = rng.uniform(0, self.width, shape)
         self.factor = rng.integers(1, 1 << 62, shape) * 2 + 1
-        self.probes = int(np.ceil(PROBE_BASE**functions)) if functions else 1
+        self.probes = min(PROBES, 3**functions)
 
     def _places(self, vectors: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each vector, table and function, and how far from its lower bound."""
@@ -103,28 +104,35 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _searched(index: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of a shard for each query that visits it."""
-    none = pd.DataFrame({"query_id": np.zeros(0, int), "vec_id": np.zeros(0, int), "score": []})
-    if not len(index) or not len(asked):
-        return none
-    ids = index["vec_id"].to_numpy()
-    vectors = np.stack(index["vector"].to_numpy()).astype(np.float64)
-    queries = np.stack(asked["vector"].to_numpy()).astype(np.float64)
-    names = asked["query_id"].to_numpy()
-    rows = index.groupby(["table", "code", "chunk"]).indices
-    visitors: dict[tuple, list[int]] = {}
-    for n, probes in enumerate(asked["probes"]):
-        for p in probes:
-            visitors.setdefault((p["table"], p["code"], p["chunk"]), []).append(n)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for bucket, who in visitors.items():
-        at = rows.get(bucket)
-        if at is None:
-            continue
-        for begin in range(0, len(who), 1024):
-            q = np.array(who[begin : begin + 1024])
-            score = queries[q] @ vectors[at].T
+class Shard:
+    """The vectors of a shard by bucket."""
+
+    def __init__(self, index: pa.Table):
+        self.ids = index.column("id").to_numpy()
+        self.vectors = _vectors(index.column("vector").combine_chunks())
+        keys = index.select(["table", "code", "chunk"]).to_pandas()
+        self.rows = keys.groupby(["table", "code", "chunk"]).indices
+
+    def search(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
+        """The k best of the shard for each of some queries, in the buckets that they visit."""
+        queries = _vectors(asked.column("vector"))
+        probes = asked.column("probes")
+        flat = probes.flatten()
+        table, code, chunk = (flat.field(n).to_numpy() for n in ("table", "code", "chunk"))
+        sizes = np.diff(probes.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(asked)), sizes)
+        order = np.lexsort((owner, chunk, code, table))
+        table, code, chunk, owner = table[order], code[order], chunk[order], owner[order]
+        fresh = np.ones(len(owner), dtype=bool)
+        fresh[1:] = (np.diff(table) != 0) | (code[1:] != code[:-1]) | (np.diff(chunk) != 0)
+        cuts = np.flatnonzero(fresh)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin, end in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
+            at = self.rows.get((table[begin], code[begin], chunk[begin]))
+            if at is None:
+                continue
+            q = owner[begin:end]
+            score = queries[q] @ self.vectors[at].T
             if len(at) > k:
                 least = np.partition(score, len(at) - k, axis=1)[:, len(at) - k]
                 # rounding may order equal vectors either way, so near ties stay
@@ -132,14 +140,43 @@ def _searched(index: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
             else:
                 row, col = (x.ravel() for x in np.indices(score.shape))
             found.append((q[row], at[col]))
-    if not found:
-        return none
-    q, v = (np.concatenate(x) for x in zip(*found, strict=True))
-    score = np.concatenate(
-        [exact(queries[q[a : a + 65536]], vectors[v[a : a + 65536]]) for a in range(0, len(q), 65536)]
-    )
-    best = _best(q, ids[v], score, k)
-    return pd.DataFrame({"query_id": names[q[best]], "vec_id": ids[v[best]], "score": score[best]})
+        if not found:
+            return None
+        q, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        # a vector met in several tables counts once
+        pair = np.unique(q * len(self.ids) + v)
+        q, v = pair // len(self.ids), pair % len(self.ids)
+        score = np.concatenate(
+            [exact(queries[q[a : a + 65536]], self.vectors[v[a : a + 65536]]) for a in range(0, len(q), 65536)]
+        )
+        best = _best(q, self.ids[v], score, k)
+        names = asked.column("id").to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[q[best]]), pa.array(self.ids[v[best]]), pa.array(score[best])],
+            ["query_id", "vec_id", "score"],
+        )
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, a shard's vectors before its queries: the vectors are held, the queries
+    pass by a few at a time."""
+    number, held, shard = None, [], None
+    for batch in batches:
+        mark = batch.column("shard").to_numpy() * 2 + batch.column("asks").to_numpy()
+        cuts = np.flatnonzero(np.diff(mark)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(mark)], strict=True):
+            part = batch.slice(begin, end - begin)
+            if mark[begin] // 2 != number:
+                number, held, shard = mark[begin] // 2, [], None
+            if mark[begin] % 2 == 0:
+                held.append(part)
+                continue
+            if shard is None and held:
+                shard, held = Shard(pa.Table.from_batches(held)), []
+            for at in range(0, len(part) if shard else 0, QUERIES_AT_ONCE):
+                found = shard.search(part.slice(at, QUERIES_AT_ONCE), k)
+                if found is not None:
+                    yield found
 
 
 def _round(vectors: DataFrame, queries: DataFrame, hashing: Hashing, k: int, total: int) -> DataFrame:
@@ -201,13 +238,25 @@ def _round(vectors: DataFrame, queries: DataFrame, hashing: Hashing, k: int, tot
         .select("shard", "query_id", "vector", "probes")
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _searched(left, right, k)
-
+    columns = ("shard", "asks", "table", "code", "chunk", "id", "vector", "probes")
+    probe = "array<struct<table: int, code: bigint, chunk: int>>"
+    vectors_first = placed.withColumns(
+        {"asks": F.lit(0), "id": F.col("vec_id"), "probes": F.lit(None).cast(probe)}
+    ).select(*columns)
+    then_queries = visits.withColumns(
+        {
+            "asks": F.lit(1),
+            "id": F.col("query_id"),
+            "table": F.lit(None).cast("int"),
+            "code": F.lit(None).cast("long"),
+            "chunk": F.lit(None).cast("int"),
+        }
+    ).select(*columns)
     found = (
-        placed.groupBy("shard")
-        .cogroup(visits.groupBy("shard"))
-        .applyInPandas(search, "query_id long, vec_id long, score double")
+        vectors_first.unionByName(then_queries)
+        .repartition("shard")
+        .sortWithinPartitions("shard", "asks")
+        .mapInArrow(lambda batches: _streamed(batches, k), "query_id long, vec_id long, score double")
     )
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
@@ -224,7 +273,7 @@ def _usable(vector: Column) -> Column:
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
-    vector: str = "embedding", functions: int | None = None,
+    vector: str = "embedding", functions: int = FUNCTIONS,
 ) -> DataFrame:
     """The ``k`` found with the largest inner product for each query row of ``vectors``.
 
@@ -269,8 +318,6 @@ def nearest(
         "distinct-vectors",
     )
     total = apart.count()
-    if functions is None:
-        functions = min(FUNCTIONS, max(1, round(np.log2(max(1, total))) - LOG_BASE))
     asking = slim.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
     # equal queries are searched once, under the smallest of their keys
     firsts = written(

@@ -116,3 +116,45 @@ def test_visits_begin_with_the_own_bucket():
     assert visits.shape == (20, neighbours.TABLES, h.probes)
     assert (visits[:, :, 0] == h.codes(x)).all()
     assert all(len(set(row.tolist())) == h.probes for row in visits.reshape(-1, h.probes))
+
+
+def share_and_recall(vectors, queries, k=20):
+    """Share of the vectors that the queries meet in some bucket, and of their k best."""
+    h = neighbours.Hashing(vectors.shape[1], float(np.linalg.norm(vectors, axis=1).max()), neighbours.FUNCTIONS)
+    codes, visits = h.codes(vectors), h.visits(vectors[queries])
+    met = np.zeros((len(queries), len(vectors)), dtype=bool)
+    for t in range(h.tables):
+        for n in range(len(queries)):
+            met[n] |= np.isin(codes[:, t], visits[n, t])
+    score = vectors[queries] @ vectors.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :k]
+    return met.mean(), np.take_along_axis(met, best, axis=1).mean()
+
+
+def test_probes_are_a_part_of_the_table_and_more_find_more(spark, monkeypatch):
+    """On the given vectors, which have next to no structure, and on clustered ones."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    given = np.array([r.embedding for r in given], dtype=np.float64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    grouped = np.repeat(centres, 50, axis=0) + 0.4 * rng.normal(size=(2000, 64))
+    grouped /= np.linalg.norm(grouped, axis=1, keepdims=True)
+    found = {}
+    for probes in (10, neighbours.PROBES):
+        monkeypatch.setattr(neighbours, "PROBES", probes)
+        found[probes] = [share_and_recall(x, np.arange(0, 2000, 20)) for x in (given, grouped)]
+    print("\nshare of the table met, recall:", found)
+    few, many = found[10], found[max(found)]
+    assert neighbours.PROBES < 3**neighbours.FUNCTIONS / 2
+    assert all(a[0] < b[0] < 0.9 and a[1] < b[1] for a, b in zip(few, many))
+    assert many[0][1] >= 0.9 and many[1][1] >= 0.97
+    assert few[1][1] / few[1][0] > 2  # where there is structure, the first probes are worth most
+
+
+def test_one_bucket_with_many_queries(spark, monkeypatch):
+    """Nearly equal vectors that all ask: one bucket, its queries passing a few at a time."""
+    monkeypatch.setattr(neighbours, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.array([1.0, 2.0, 3.0]) + 1e-3 * rng.normal(size=3)).astype(np.float32).tolist()) for i in range(700)]
+    close(found(frame(spark, rows), 5, 1), brute(rows, 5, 1))
