@@ -196,9 +196,8 @@ def build_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
 
     ``rows`` has ``_id`` (file_path and row_index) and ``text``.
     """
-    folded = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), t) for t in trigrams]))
-    entries = rows.select(
+    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), t) for t in trigrams]))
+    entries = rows.select("_id", F.lower("text").alias("folded")).select(
         F.col("_id.file_path").alias("file"),
         F.floor(F.col("_id.row_index") / BLOCK_ROWS).alias("block"),
         (F.col("_id.row_index") % BLOCK_ROWS).cast("int").alias("place"),
@@ -291,9 +290,9 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     if indexed:
         trigrams = sorted({t for q in indexed.values() for a in q for t in a})
         index = written(build_index(rows, trigrams), "trigrams")
-        met = written(
-            rows.join(candidates(index, indexed), "_id").select("_id", "text", "bits"), "candidates"
-        )
+        # candidates grow with the texts, so the join is the same at every size and never a broadcast
+        bits = candidates(index, indexed).hint("merge")
+        met = written(rows.join(bits, "_id").select("_id", "text", "bits"), "candidates")
         for n in indexed:
             parts.append(_matches(met.filter(F.col("bits").bitwiseAND(1 << n) != 0), n, rules[n]))
     for n in queries:
