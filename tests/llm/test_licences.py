@@ -105,3 +105,29 @@ def test_registered_query_finds_what_brute_force_finds(spark):
     found = {(r.doc_id, r.licence, r.containment) for r in licences.query(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert found == {(d.doc_id, n, c) for d in docs for n, c in brute(d.text).items()}
+
+
+def test_whole_licences_at_any_place_of_long_texts():
+    """Edited licence texts of hundreds of words, at places that lie differently in their windows."""
+    rng = random.Random(3)
+    filler = [f"v{n}" for n in range(400)]
+    data = []
+    for name in ("MIT-text", "BSD-2-Clause-text", "ISC-text", "LGPL-2.1-notice", "Unlicense-dedication"):
+        for offset in (0, 1, 63, 64, 65, 127, 200, 255, 256, 300, 511, 513):
+            changed = edited(rng, licences.TEMPLATES[name], rng.randrange(4))
+            data.append(" ".join(rng.choices(filler, k=offset)) + f" {changed} " + " ".join(rng.choices(filler, k=rng.randrange(500))))
+    found = KNOWN.matches([t.encode() for t in data])
+    assert [{k: v[0] for k, v in f.items()} for f in found] == [brute(t) for t in data]
+    assert all(f for f in found)
+
+
+def test_families_are_told_apart():
+    notices = {
+        "SPDX-License-Identifier: LGPL-3.0-or-later": {"SPDX-LGPL-3.0-or-later"},
+        "// SPDX-License-Identifier: GPL-2.0-only": {"SPDX-GPL-2.0-only"},
+        licences.TEMPLATES["AGPL-3.0-notice"]: {"AGPL-3.0-notice"},
+        licences.TEMPLATES["ISC-text"]: {"ISC-text"},
+    }
+    for text, expected in notices.items():
+        found = set(KNOWN.matches([text.encode()])[0])
+        assert expected <= found and not any("Apache" in n or "MIT" in n for n in found), (text, found)
