@@ -124,20 +124,21 @@ def _by_powers(items: list[tuple[int, int, int]], top: int) -> list[list[tuple[i
     return windows
 
 
-def _rows(docs, windows, first, base, step_tokens, with_ids):
-    """Arrow batch of the pieces of finished windows. ``docs`` has (key, ids as bytes, start)."""
+def _rows(docs, windows, first, base, step_tokens, with_ids, with_place):
+    """Arrow batch of the pieces of finished windows. ``docs`` has (key, ids, start, all ids, place)."""
     names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-             "window", "step_group"]
+             "window", "step_group", *(["place"] if with_place else [])]
     cols: dict[str, list] = {n: [] for n in [*names, *(["ids"] if with_ids else [])]}
     sized = sorted(windows, key=lambda w: -sum(x[2] for x in w))
     filled = 0
     for n, window in enumerate(sized):
         size, offset = sum(x[2] for x in window), 0
+        place = (min(docs[x[0]][4] for x in window),) if with_place else ()
         for doc, start, length in window:
-            key, ids, skipped, total = docs[doc]
+            key, ids, skipped, total, _ = docs[doc]
             piece = ids[start * 4 : (start + length) * 4]
             row = (key, skipped + start, length, zlib.crc32(piece), total, base + first + n, offset,
-                   size, base + first + filled // step_tokens)
+                   size, base + first + filled // step_tokens, *place)
             for name, value in zip(names, row, strict=True):
                 cols[name].append(value)
             if with_ids:
@@ -152,13 +153,15 @@ def _rows(docs, windows, first, base, step_tokens, with_ids):
 
 def packed(
     docs: DataFrame, path: str | None = None, end_id: int = END_ID, tiers: Sequence[int] = TIERS,
-    key: str = "doc_id", text: str = "text", with_ids: bool = False,
+    key: str = "doc_id", text: str = "text", with_ids: bool = False, place: str | None = None,
 ) -> DataFrame:
     """Pieces of all documents and where they lie.
 
     Columns: the key, ``start`` and ``length`` (ids of the document before the piece, ids in it),
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` (in the sequence), ``window`` (its
-    length), ``step_group``; with ``with_ids`` also ``ids`` (little-endian 32-bit). A NULL or empty
+    length), ``step_group``; with ``with_ids`` also ``ids`` (little-endian 32-bit). ``place`` names a
+    column of whole numbers that orders the documents: each sequence then has the smallest ``place`` of
+    its documents, by which sequences follow that order. A NULL or empty
     text is the end id alone. Rows with equal or NULL keys are packed one by one. Keys are whole
     numbers. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
@@ -170,28 +173,30 @@ def packed(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         base, first = TaskContext.get().partitionId() << 40, 0
-        held: list[tuple] = []  # key, ids not yet packed, ids before them, all ids
+        held: list[tuple] = []  # key, ids not yet packed, ids before them, all ids, place
         tokens = 0
 
         def flush(last: bool):
             nonlocal held, tokens, first
             windows, left = plan([len(x[1]) // 4 for x in held], tiers, last)
-            batch = _rows(held, windows, first, base, STEP_TOKENS, with_ids)
+            batch = _rows(held, windows, first, base, STEP_TOKENS, with_ids, place is not None)
             first += len(windows)
             held = [
-                (k, ids[start * 4 : (start + n) * 4], skipped + start, total)
+                (k, ids[start * 4 : (start + n) * 4], skipped + start, total, at)
                 for n, doc, start in left
-                for k, ids, skipped, total in [held[doc]]
+                for k, ids, skipped, total, at in [held[doc]]
             ]
             tokens = sum(len(x[1]) for x in held) // 4
             return batch
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            places = batch.column(2).to_pylist() if place else [0] * len(keys)
             for at in range(0, len(keys), DOCS_AT_ONCE):
                 found = encode(texts.slice(at, DOCS_AT_ONCE).to_pylist(), end_id)
-                for k, ids in zip(keys[at : at + DOCS_AT_ONCE], found, strict=True):
-                    held.append((k, ids, 0, len(ids) // 4))
+                own = slice(at, at + DOCS_AT_ONCE)
+                for k, ids, lies in zip(keys[own], found, places[own], strict=True):
+                    held.append((k, ids, 0, len(ids) // 4, lies))
                     tokens += len(ids) // 4
                 if tokens >= BLOCK_TOKENS:
                     yield flush(False)
@@ -200,10 +205,15 @@ def packed(
 
     schema = "_key long, start long, length long, ids_crc32 long, doc_tokens long, "
     schema += "sequence_id long, offset long, window long, step_group long"
+    if place:
+        schema += ", place long"
     if with_ids:
         schema += ", ids binary"
+    named = [F.col(place).cast("long").alias("_place")] if place else []
     return (
-        docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"))
+        docs.select(
+            F.col(key).cast("long").alias("_key"), F.col(text).cast("binary").alias("_text"), *named
+        )
         .mapInArrow(pack, schema)
         .withColumnRenamed("_key", key)
     )

@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import connect, difference
+from pyspark.sql import functions as F
 from test_simhash import brute_components, brute_print
 from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
 import corpus_pipeline
 from lunario.llm import langid, mixing
-from lunario.llm.common import written
+from lunario.llm.common import stored_order, written
 from lunario.llm.queries import ORACLES, QUERIES
 from lunario.llm.tokens import tokenizer_path
 
@@ -78,3 +79,50 @@ def test_run_gives_the_last_stage(spark, stages):
     run = corpus_pipeline.run(spark, SF_DIR)
     assert run.columns == stages[-1].columns
     assert run.groupBy().sum("length").first() == stages[-1].groupBy().sum("length").first()
+
+
+def test_sequences_follow_the_order_of_the_mix(stages):
+    """Sorted by place, sequences begin with the documents that the mix puts first."""
+    mix, packed = stages[4], stages[5]
+    places = {(r.doc_id, r["_place"]) for r in stored_order(mix).select("doc_id", "_place").collect()}
+    at = defaultdict(list)
+    for doc_id, place in places:
+        at[doc_id].append(place)
+    windows = defaultdict(list)
+    for r in packed.collect():
+        windows[r.sequence_id, r.place].append(r.doc_id)
+    for (_, place), docs in windows.items():
+        assert place in {p for d in docs for p in at[d]}
+        assert all(max(at[d]) >= place for d in docs)
+    time = {r.doc_id: r.times[0] for r in mixing.mixed(stages[3]).select("_doc.doc_id", "times").collect() if r.times}
+    order = [r.doc_id for r in stored_order(mix).orderBy("_place").collect()]
+    first = [time[d] for n, d in enumerate(order) if d not in order[:n]]
+    assert first == sorted(first)
+
+
+def tables(tmp_path, spark, rows, schema, **more):
+    df = spark.createDataFrame(rows, schema).withColumns({k: F.lit(v) for k, v in more.items()})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(tmp_path, spark, [], SCHEMA)).count() == 0
+
+
+def test_odd_tables(spark, tmp_path):
+    """No labels, NULL keys and texts, repeated rows, further columns with the operators' names."""
+    rows = [(n, " ".join(f"é{n}w{i}" for i in range(20 + n)), None, "s", 1) for n in range(12)]
+    rows += [(None, None, None, None, None)] * 2 + [(3, rows[3][1], None, "s", 1)] * 3 + [(50, "", None, "t", 0)]
+    dir_ = tables(tmp_path, spark, rows, SCHEMA, _id="x", _row="y", times="z", root="r", place="p", kept="k")
+    docs = spark.read.parquet(f"{dir_}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, docs, dir_), name.replace(" ", "-"))
+        assert after.columns == docs.columns
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, dir_).collect()
+    assert sorted({r.doc_id for r in packed if r.doc_id is not None}) == sorted({r.doc_id for r in docs.collect() if r.doc_id is not None})
+    assert len({r.doc_id for r in packed}) >= 10

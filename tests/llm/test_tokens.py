@@ -200,3 +200,16 @@ def test_plan_uses_every_id_once(lengths, last):
             assert start == at
             at += length
         assert at == n
+
+
+def test_sequences_know_the_first_place_of_their_documents(spark):
+    rng = np.random.default_rng(5)
+    rows = [(n, "word " * int(rng.integers(1, 4000)), 1000 - n) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p long").coalesce(1)
+    plain_rows = {tuple(r) for r in packing.packed(df).drop("sequence_id", "step_group").collect()}
+    placed = packing.packed(df, place="p").collect()
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset, r.window) for r in placed} == plain_rows
+    first = {}
+    for r in placed:
+        first[r.sequence_id] = min(first.get(r.sequence_id, 10**9), 1000 - r.doc_id)
+    assert all(first[r.sequence_id] == r.place for r in placed)
