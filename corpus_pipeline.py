@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lunario.llm import exact_dedup, langid, mixing, packing, simhash
-from lunario.llm.common import written
+from lunario.llm.common import stored_order, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def to_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and the sequences they lie in."""
-    return packing.packed(docs)
+    """Pieces of all documents and the sequences they lie in, which the column ``place`` puts in the
+    training order of the mix."""
+    return packing.packed(stored_order(docs), place="_place")
 
 
 STAGES = [
