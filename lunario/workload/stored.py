@@ -273,6 +273,7 @@ def _(spark, d):
     found = spark.newSession().sql(f"SELECT * FROM {database}.vw_paridad_real_de_tasas")
     path = new_path(spark, "view")
     snapshot(found, path)
+    spark.sql(f"DROP DATABASE {database} CASCADE")  # the tables' files are not the catalogue's
     return spark.read.parquet(path)
 
 
