@@ -193,7 +193,7 @@ def packed(
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             places = batch.column(2).to_pylist() if place else [0] * len(keys)
             for at in range(0, len(keys), DOCS_AT_ONCE):
-                found = encode(texts.slice(at, DOCS_AT_ONCE).to_pylist(), end_id)
+                found = encode(texts.slice(at, DOCS_AT_ONCE), end_id)
                 own = slice(at, at + DOCS_AT_ONCE)
                 for k, ids, lies in zip(keys[own], found, places[own], strict=True):
                     held.append((k, ids, 0, len(ids) // 4, lies))

@@ -98,7 +98,7 @@ def write_shards(
             keys, texts = batch.column(0), batch.column(1)
             for begin in range(0, len(keys), DOCS_AT_ONCE):
                 rows = []
-                for ids in coder.encode(texts.slice(begin, DOCS_AT_ONCE).to_pylist(), end_id):
+                for ids in coder.encode(texts.slice(begin, DOCS_AT_ONCE), end_id):
                     if out is not None and at >= SHARD_IDS:
                         out.commit()
                         number, out, at = number + 1, None, 0
