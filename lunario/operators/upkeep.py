@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from lunario.functions.text import NUMBER
 
 
-def unique_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def unique_rows(source: DataFrame, keys: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
     """``source`` unchanged; the query fails when a key occurs twice.
 
-    A key holding NULL is a key like any other. The count runs in the partitioning and order that
-    the join on the same keys needs, so it costs no shuffle of its own.
+    A key holding NULL is a key like any other, but rows with a NULL in a ``required`` column are not
+    compared; as many of them may share a key, each task's rows are a group of their own. The count
+    runs in the partitioning and order that the join on the same keys needs, so it costs no shuffle
+    of its own.
     """
+    compared = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in required], F.lit(True))
+    apart = {"_apart": F.when(~compared, F.spark_partition_id())} if required else {}
+    one_key = Window.partitionBy(*keys, *apart)
     return (
-        source.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        .filter(F.assert_true(F.col("_rows") == 1, F.lit("a key occurs twice in the source")).isNull())
-        .drop("_rows")
+        source.withColumns(apart)
+        .withColumn("_rows", F.count(F.when(compared, F.lit(1))).over(one_key))
+        .filter(F.assert_true(F.col("_rows") <= 1, F.lit("a key occurs twice in the source")).isNull())
+        .drop("_rows", *apart)
     )
 
 

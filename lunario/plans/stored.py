@@ -125,8 +125,9 @@ def publish(
     """Write the next version of a table and make it current if it keeps the contract.
 
     Rows and NULLs of the required columns (the keys by default) are counted by the job that writes,
-    and repeated keys stop it, so the data is gone over once. A rejected or failed version is left
-    beside the others but never becomes current. Returns the number of the version.
+    and keys that complete rows repeat stop it, so the data is gone over once. Rows with such a NULL
+    are counted, whatever keys they share. A rejected or failed version is left beside the others but
+    never becomes current. Returns the number of the version.
     """
     spark = df.sparkSession
     must = list(keys if required is None else required)
@@ -138,7 +139,7 @@ def publish(
     )
     number = max(_versions(spark, folder, "v"), default=0) + 1
     version = f"{folder}/v{number}"
-    snapshot(unique_rows(watched, keys), version)
+    snapshot(unique_rows(watched, keys, must), version)
     try:
         found = counted.get
     except Py4JJavaError:  # a plan known to be empty counts nothing

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lunario.plans import kept, refresh, stored, view_sql, views
 from lunario.plans.catalog import VIEWS
 from lunario.operators import last_non_blank
+from lunario.operators.upkeep import unique_rows
 from lunario.sources.files import (
     read_checked_table,
     read_semicolon_table,
@@ -201,6 +202,35 @@ def test_a_rejected_version_never_becomes_current(spark, tmp_path):
     assert stored.current(spark, folder).count() == 0
 
 
+def test_rows_with_nulls_are_counted_also_where_they_share_a_key(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    stored.publish(months(spark, [(1, 1, 1.0)]), folder, ["k", "fecha"])
+    twice = [(1, None, 5.0), (1, None, 5.0), (2, None, None), (2, None, None), (1, 1, None)]
+    with pytest.raises(stored.Rejected) as found:
+        stored.publish(months(spark, twice), folder, ["k", "fecha", "v"], ["fecha"])
+    assert (found.value.rows, found.value.nulls) == (5, {"fecha": 4})
+    assert spark.read.parquet(f"{folder}/v2").count() == 5  # none is left out of what is kept beside
+    with pytest.raises(stored.Rejected) as found:  # a required column that is no key
+        stored.publish(months(spark, [(1, 1, None), (1, 1, 2.0)]), folder, ["k", "fecha"], ["v"])
+    assert (found.value.rows, found.value.nulls) == (2, {"v": 1})
+    for rows in (twice + [(3, 3, 1.0)] * 2, [(1, 1, None)] * 2):  # complete rows still may not
+        with pytest.raises(Exception, match="twice"):
+            stored.publish(months(spark, rows), folder, ["k", "fecha", "v"], ["fecha"])
+    assert rows_of(stored.current(spark, folder)) == rows_of(months(spark, [(1, 1, 1.0)]))
+
+
+def test_rows_without_any_key_are_not_one_group(spark, tmp_path):
+    lost = spark.range(4000, numPartitions=4).select(F.lit(None).cast("long").alias("k"), "id")
+    groups = unique_rows(lost, ["k"], ["k"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = groups.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(counts) > 1 and sum(r["count"] for r in counts) == 4000
+    assert groups.columns == ["k", "id"]
+
+
 def test_the_counts_come_from_the_job_that_writes(spark, tmp_path):
     """One job over the data: the source is evaluated once."""
     seen = spark.sparkContext.accumulator(0)
