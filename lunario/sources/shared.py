@@ -41,6 +41,12 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in files.listStatus(place))
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Size of a file, or of all files in a folder."""
+    place, files = _place(spark, path)
+    return files.getContentSummary(place).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder with all it holds; nothing happens if it is gone."""
     place, files = _place(spark, path)

@@ -5,10 +5,15 @@ combined aggregate with one (conditional) sum per measure, shuffling at most one
 key and task. The aggregate is then split into tables by ``stack``, which keeps column pruning
 from turning the branches into different aggregates, so Spark reuses the one exchange for all of
 them. Only the measures asked for are summed, and only their columns are read.
+
+The rate report of every series is the exception: its 18 sums and counts of a month are as wide as
+the few lines they are made of, so combining them map side shuffles no less and holds a wide row for
+nearly every line of a split. Its lines are dealt to tasks by series and month instead (``spread``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,10 +21,14 @@ from pyspark.sql import functions as F
 
 from lunario.functions.dates import month_start
 from lunario.operators.change import period_change
-from lunario.sources.schemas import AGGREGATES, RATE_CELLS
+from lunario.sources.schemas import AGGREGATES, RATE_CELLS, RATE_COLUMNS
+from lunario.sources.shared import bytes_of
 
 CENTS = 100
 
+#: Bytes of a fact's files whose lines one task sums when they are spread; more files, more tasks.
+SPREAD_BYTES = 8 << 20
+
 # Rate kind, instrument and term of each return flag.
 FLAG_RATES = {
     "A": ("Activa", "Préstamo", "Corto Plazo"),
@@ -38,9 +47,9 @@ _RATE_ROWS = [
 
 # Lines of a currency by return flag and line number, one kind of line for each cell of the report.
 _CELL_ROWS = [
-    (status, f"l_returnflag = '{'ANR'[n // 3]}' AND l_linenumber % 3 = {n % 3}", (currency, *labels))
-    for status, currency in STATUS_CURRENCY.items()
-    for n, labels in enumerate(RATE_CELLS.values())
+    (status, f"l_returnflag = '{'ANR'[n // 3]}' AND l_linenumber % 3 = {n % 3}")
+    for status in STATUS_CURRENCY
+    for n in range(len(RATE_CELLS))
 ]
 
 
@@ -80,7 +89,7 @@ _SHIPMENT_MEASURES = {
         for s, f, _ in _RATE_ROWS
     ],
     "tasas_reporte": [
-        _mean("l_discount", f"l_linestatus = '{s}' AND {kind}", 100) for s, kind, _ in _CELL_ROWS
+        _mean("l_discount", f"l_linestatus = '{s}' AND {kind}", 100) for s, kind in _CELL_ROWS
     ],
 }
 
@@ -91,6 +100,9 @@ _ORDER_MEASURES = {
     "bm": [_total("o_totalprice", f"{_CELL} < {limit}") for limit in (3, 5, 7, 9, 11, 13, 15)],
 }
 
+#: Tables of one wide row per period.
+_WIDE = ("bm", "tasas_reporte")
+
 _SHIPMENTS = ("lineitem", "l_shipdate", "l_suppkey", _SHIPMENT_MEASURES)
 _ORDERS = ("orders", "o_orderdate", "o_custkey", _ORDER_MEASURES)
 
@@ -101,17 +113,23 @@ def base_tables(
     *names: str,
     keyed: bool = False,
     period: tuple[str | None, str | None] | None = None,
+    spread: bool = False,
 ) -> dict[str, DataFrame]:
     """The named base tables; ``keyed`` adds ``entidad``, one series per supplier or customer.
 
     ``period`` (first month, first month after; None is open) limits the scan on the raw timestamp,
-    which reaches the Parquet reader.
+    which reaches the Parquet reader. ``spread`` deals the lines of keyed tables to tasks by series
+    and month before they are summed, as many tasks as the files need, and then the months by series.
     """
     tables: dict[str, DataFrame] = {}
     for source in (_SHIPMENTS, _ORDERS):
         wanted = [name for name in names if name in source[3]]
         if wanted:
-            tables |= _split(_monthly(spark, sf_dir, source, keyed, period), source, wanted, keyed)
+            lines, tasks = _monthly(spark, sf_dir, source, keyed, period), None
+            if keyed and spread:
+                tasks = math.ceil(bytes_of(spark, f"{sf_dir}/{source[0]}.parquet") / SPREAD_BYTES)
+                tasks = max(tasks, spark.sparkContext.defaultParallelism)
+            tables |= _split(lines, source, wanted, keyed, tasks)
     if "ipc" in tables:
         tables["ipc"] = _with_inflation(tables["ipc"], ["entidad"] if keyed else [])
     return tables
@@ -132,8 +150,12 @@ def _monthly(spark, sf_dir: str, source, keyed: bool, period) -> DataFrame:
     return dated.filter(F.col(entity).isNotNull()).withColumnRenamed(entity, "entidad")
 
 
-def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[str, DataFrame]:
+def _split(
+    fact: DataFrame, source, wanted: Sequence[str], keyed: bool, tasks: int | None
+) -> dict[str, DataFrame]:
     ids = ["entidad", "fecha"] if keyed else ["fecha"]
+    if tasks:
+        fact = fact.repartition(tasks, *ids)
     held = {name: [f"_{name}_{i}" for i in range(len(source[3][name]))] for name in wanted}
     monthly = fact.groupBy(*ids).agg(
         *[
@@ -142,10 +164,12 @@ def _split(fact: DataFrame, source, wanted: Sequence[str], keyed: bool) -> dict[
             for measure, alias in zip(source[3][name], aliases, strict=True)
         ]
     )
+    if tasks:  # below the stack, so that all branches read one exchange and sum nothing again
+        monthly = monthly.repartition(tasks, "entidad")
     rows = [
         (name, position, values)
         for name, columns in held.items()
-        for position, values in enumerate([columns] if name == "bm" else [[c] for c in columns])
+        for position, values in enumerate([columns] if name in _WIDE else [[c] for c in columns])
     ]
     width = max(len(values) for _, _, values in rows)
     outputs = ", ".join(f"_v{i}" for i in range(width))
@@ -165,12 +189,14 @@ def _table(stacked: DataFrame, ids: Sequence[str], name: str) -> DataFrame:
         present, columns = "_v6", [
             f"cast(_v{i} AS decimal(18,4)) AS {a}" for i, a in enumerate(AGGREGATES)
         ]
+    elif name == "tasas_reporte":
+        present = f"coalesce({', '.join(f'_v{i}' for i in range(len(RATE_COLUMNS)))})"
+        columns = [f"_v{i} AS {c}" for i, c in enumerate(RATE_COLUMNS)]
     elif name == "tasa_interbancaria":
         columns = [f"{_label(STATUS_CURRENCY.values())} AS moneda", "_v0 AS tasa"]
-    elif name in ("tasas_interes", "tasas_reporte"):
+    elif name == "tasas_interes":
         names = ("moneda", "tipo_tasa", "instrumento", "plazo")
-        kinds = _RATE_ROWS if name == "tasas_interes" else _CELL_ROWS
-        columns = [f"{_label(row[2][i] for row in kinds)} AS {n}" for i, n in enumerate(names)]
+        columns = [f"{_label(row[2][i] for row in _RATE_ROWS)} AS {n}" for i, n in enumerate(names)]
         columns.append("_v0 AS tasa_porcentaje")
     own = stacked.filter(f"_table = '{name}' AND {present} IS NOT NULL")
     return own.selectExpr(*ids, *columns)

@@ -49,7 +49,7 @@ from lunario.sources.schemas import (
     inline_rows,
 )
 from lunario.workload.derive import base_tables, exact_sum
-from lunario.workload.render import aggregate_report, rate_report
+from lunario.workload.render import aggregate_report, rate_cells_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -624,8 +624,13 @@ def _(spark, d):
 
 @query("j7_unpivot_rates")
 def _(spark, d):
-    report = rate_report(keyed(spark, d, "tasas_reporte")["tasas_reporte"], KEY)
-    return tidy_rates(report, "source_row_id", KEY, block=None, keys=KEY)
+    return tidy_rates(rates_of_series(spark, d), "source_row_id", KEY, block=None, keys=KEY)
+
+
+def rates_of_series(spark: SparkSession, d: str) -> DataFrame:
+    """Rate report of every supplier."""
+    cells = keyed(spark, d, "tasas_reporte", spread=True)["tasas_reporte"]
+    return rate_cells_report(cells, KEY)
 
 
 @query("j9_staging_tidy")

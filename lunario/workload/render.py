@@ -30,16 +30,23 @@ def aggregate_report(bm: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def rate_report(rates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Interest-rate report of every series; cells without a rate are a dash, blank or NULL."""
+    """Interest-rate report of every series, from one row per rate."""
     wide = rates.groupBy(*keys, "fecha").agg(
         *[
             F.expr(
                 f"max(CASE WHEN moneda = '{code}' AND tipo_tasa = '{kind}' AND plazo = '{term}' "
-                "THEN round(tasa_porcentaje, 6) END)"
+                "THEN tasa_porcentaje END)"
             ).alias(name)
             for name, (code, kind, _, term) in RATE_COLUMNS.items()
         ]
     )
+    return rate_cells_report(wide, keys)
+
+
+def rate_cells_report(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As ``rate_report``, from one row per period that has a column for each cell of the report;
+    cells without a rate are a dash, blank or NULL."""
+    wide = cells.select(*keys, "fecha", *[F.round(name, 6).alias(name) for name in RATE_COLUMNS])
     empty = {"3m": "' - '", "6m": "'  '", "9m": "'-'"}
     cells = {
         name: F.expr(f"coalesce(cast({name} AS string), {empty.get(name.split('_')[-1], 'NULL')})")

@@ -36,10 +36,11 @@ from lunario.workload.queries import (
     fact,
     keyed,
     query,
+    rates_of_series,
     series,
     supplier_months,
 )
-from lunario.workload.render import aggregate_report, rate_report
+from lunario.workload.render import aggregate_report
 
 #: Bytes of an input split while a report is loaded, so that its lines come from many tasks.
 SPLIT_BYTES = 1 << 16
@@ -149,8 +150,7 @@ class small_splits:
 @query("j7_load_rates")
 def _(spark, d):
     """Full reload of the rates from report files in code page 1252."""
-    report = rate_report(keyed(spark, d, "tasas_reporte")["tasas_reporte"], KEY)
-    ordered = report.repartitionByRange(*KEY).sortWithinPartitions(*KEY, "source_row_id")
+    ordered = rates_of_series(spark, d).repartitionByRange(*KEY).sortWithinPartitions(*KEY, "source_row_id")
     path = new_path(spark, "rates")
     write_semicolon_table(ordered.select(*RATE_REPORT.names), path)
     return load_rate_csv(spark, path, new_path(spark, "rates-table"))

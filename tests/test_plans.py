@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from lunario.workload import derive
 from lunario.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -78,3 +79,18 @@ def test_only_needed_columns_are_read(spark):
     assert {field.split(":")[0] for field in schema.split(",")} == {
         "l_extendedprice", "l_linestatus", "l_shipdate"
     }
+
+
+def lines_dealt(plan: str) -> set[int]:
+    """Tasks that the fact's lines are dealt to by series and month, not summed before."""
+    below = plan.rsplit("Exchange hashpartitioning", 1)[1]
+    assert "Scan parquet" in below and "HashAggregate" not in below
+    return {int(n) for n in re.findall(r"hashpartitioning\(entidad#\d+L, fecha#\d+, (\d+)\)", plan)}
+
+
+def test_rate_lines_are_summed_in_as_many_tasks_as_the_files_need(spark, monkeypatch):
+    size = derive.bytes_of(spark, f"{SF_DIR}/lineitem.parquet")
+    for tasks in (30, 60):
+        monkeypatch.setattr(derive, "SPREAD_BYTES", size / tasks)
+        plan = planned(spark, "j7_unpivot_rates")
+        assert lines_dealt(plan) == {tasks}
