@@ -127,14 +127,18 @@ def base_tables(
         if wanted:
             lines, tasks = _monthly(spark, sf_dir, source, keyed, period), None
             if keyed and spread:
-                tasks = math.ceil(bytes_of(spark, f"{sf_dir}/{source[0]}.parquet") / SPREAD_BYTES)
-                tasks = max(tasks, spark.sparkContext.defaultParallelism)
+                tasks = spread_tasks(spark, f"{sf_dir}/{source[0]}.parquet")
             tables |= _split(lines, source, wanted, keyed, tasks)
     if "ipc" in tables:
         tables["ipc"] = _with_inflation(tables["ipc"], ["entidad"] if keyed else [])
     return tables
 
 
+def spread_tasks(spark: SparkSession, path: str) -> int:
+    """How many tasks the lines of a fact are dealt to."""
+    return max(math.ceil(bytes_of(spark, path) / SPREAD_BYTES), spark.sparkContext.defaultParallelism)
+
+
 def _monthly(spark, sf_dir: str, source, keyed: bool, period) -> DataFrame:
     file, moment, entity, _ = source
     fact = spark.read.parquet(f"{sf_dir}/{file}.parquet").filter(F.col(moment).isNotNull())

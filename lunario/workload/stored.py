@@ -28,7 +28,7 @@ from lunario.sources.files import (
 from lunario.sources.schemas import AGGREGATE_REPORT, AGGREGATES, RATE_REPORT
 from lunario.sources.shared import new_path
 from lunario.sources.tables import append, read_generations, read_table, replace, snapshot
-from lunario.workload.derive import base_tables, exact_sum
+from lunario.workload.derive import base_tables, exact_sum, spread_tasks
 from lunario.workload.queries import (
     BASE_MONTH,
     KEY,
@@ -149,8 +149,14 @@ class small_splits:
 
 @query("j7_load_rates")
 def _(spark, d):
-    """Full reload of the rates from report files in code page 1252."""
-    ordered = rates_of_series(spark, d).repartitionByRange(*KEY).sortWithinPartitions(*KEY, "source_row_id")
+    """Full reload of the rates from report files in code page 1252.
+
+    The files grow in number, not in size, so that the lines of one are few enough for a task.
+    """
+    tasks = spread_tasks(spark, f"{d}/lineitem.parquet")
+    ordered = rates_of_series(spark, d).repartitionByRange(tasks, *KEY).sortWithinPartitions(
+        *KEY, "source_row_id"
+    )
     path = new_path(spark, "rates")
     write_semicolon_table(ordered.select(*RATE_REPORT.names), path)
     return load_rate_csv(spark, path, new_path(spark, "rates-table"))

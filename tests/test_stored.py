@@ -23,6 +23,7 @@ from lunario.sources.files import (
 )
 from lunario.sources.schemas import TABLES
 from lunario.sources.tables import append, read_generations, snapshot
+from lunario.workload import derive
 from lunario.workload import stored as workload
 from lunario.workload.derive import base_tables
 from lunario.workload.queries import QUERIES
@@ -118,6 +119,23 @@ def test_the_load_job_reads_many_splits(spark, monkeypatch):
     assert seen[0] > 20 and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
+def test_the_rate_files_grow_in_number(spark, monkeypatch):
+    seen = []
+    plain = workload.load_rate_csv
+
+    def spied(spark, path, new):
+        seen.append(len(spark.read.text(path).inputFiles()))
+        return plain(spark, path, new)
+
+    monkeypatch.setattr(workload, "load_rate_csv", spied)
+    size = derive.bytes_of(spark, f"{SF_DIR}/lineitem.parquet")
+    whole = rows_of(QUERIES["j7_load_rates"](spark, SF_DIR))
+    # ten suppliers, so no more than ten ranges have lines
+    monkeypatch.setattr(derive, "SPREAD_BYTES", size / 40)
+    assert rows_of(QUERIES["j7_load_rates"](spark, SF_DIR)) == whole
+    assert seen[1] == 10
+
+
 # --- stored tables ----------------------------------------------------------------------------
 
 
